@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, simhash, tokens
 from .common import table
 
 
@@ -14,9 +16,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2, seed=42)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, mixing.repeating_weights(docs, (5, 2, 1)), max_epochs=3, seed=42)
+    names = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
+    return mixed.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers; TOKENIZERS_FOLDER names another folder."""
+    if folder := os.environ.get("TOKENIZERS_FOLDER"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_mixing": op4_mixing,
+    "op6_tokens": op6_tokens,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.SQL,
+}
