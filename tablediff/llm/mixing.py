@@ -124,9 +124,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 c AS (SELECT *, 3 * source_size AS cap,
         sum(3 * source_size) OVER o - 3 * source_size AS caps_before, sum(weight) OVER o - weight AS weights_before
-      FROM w WINDOW o AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+      FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - caps_before)::DOUBLE / ((SELECT sum(weight) FROM w) - weights_before)::DOUBLE AS level FROM c),
-t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT min(level) FROM l WHERE level * weight <= cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1)) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 q AS (SELECT *, floor(target + 0.5)::BIGINT - whole * source_size AS rest FROM p)
 SELECT doc_id, size, source_size, target,
