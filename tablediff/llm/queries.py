@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, tokens
+from . import lines, mixing, simhash, sketch, tokens, warc
 from .common import table
 
 
@@ -36,13 +36,32 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.line_dedup(docs, every=4, window=2, least_lines=2)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"), fraction=1 / 8, shingle=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_mixing": op4_mixing,
     "op6_tokens": op6_tokens,
+    "op8_lines": op8_lines,
+    "op9_warc": op9_warc,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
 }
