@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, simhash, sketch, tokens, warc
+from . import lines, mixing, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2, seed=42)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"), least=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, mixing.repeating_weights(docs, (5, 2, 1)), max_epochs=3, seed=42)
@@ -53,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
     "op6_tokens": op6_tokens,
     "op8_lines": op8_lines,
