@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, simhash, sketch, substrings, tokens, warc
+from . import lines, mixing, quality, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -38,7 +38,12 @@ def vocabulary(name: str) -> str:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2, by_word=True)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
     "op6_tokens": op6_tokens,
+    "op7_quality": op7_quality,
     "op8_lines": op8_lines,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
