@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, simhash, sketch, substrings, tokens, warc
+from . import decontaminate, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.6)
+
+
 def vocabulary(name: str) -> str:
     """A file of the public tokenizers; TOKENIZERS_FOLDER names another folder."""
     if folder := os.environ.get("TOKENIZERS_FOLDER"):
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_tokens": op6_tokens,
     "op7_quality": op7_quality,
     "op8_lines": op8_lines,
