@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
+from . import decontaminate, html, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2, seed=42)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), sample=8)
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.substring_dedup(table(spark, sf_dir, "documents"), least=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +71,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
     "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
