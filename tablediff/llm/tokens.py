@@ -19,80 +19,93 @@ import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stash
+from .common import new_folder
+from .files import Replaced, filesystem
 
 MAGIC = b"TDTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 TAIL = struct.Struct("<QQ8s")
 HEAD = len(MAGIC) + 32 + 4
-#: Texts of more code points are encoded in pieces, cut at white space, to bound memory.
-PIECE = 1 << 18
+#: Words whose ids a worker keeps; beyond that it starts anew.
+KEPT = 500_000
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library, made once in each worker."""
+    """A tokenizer of the tokenizers library, kept by each worker with the ids of words that it has met.
 
-    def __init__(self, path: str):
+    `by_word` is for tokenizers that drop white space and never join what it
+    parts: words between ASCII white space then have the same ids wherever they
+    stand. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        for text in texts:
-            parts = [self.tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids for p in pieces(text)]
-            yield np.array([i for p in parts for i in p] + [end] if len(parts) != 1 else parts[0] + [end], dtype=self.dtype)
-
-
-def pieces(text: str) -> list[str]:
-    """The text, or for a very long one its pieces, cut where white space follows; the tokenizer drops white space."""
-    if len(text) <= PIECE:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        stop = at + PIECE
-        while stop < len(text) and text[stop] not in " \t\n":
-            stop += 1
-        out.append(text[at:stop])
-        at = stop
-    return out
-
-
-def train_dictionary(docs: DataFrame, tokenizer: str, end: int, sample: int = 1000, sample_bytes: int = 4096, size: int = 65536) -> bytes:
-    """A zstandard dictionary from the id arrays of `sample` documents at most, the first by hash of doc_id.
-
-    Of each it sees the first `sample_bytes`. Too few documents give an empty dictionary.
+        self.known: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str, by_word: bool) -> Encoder:
+        if (path, by_word) not in _encoders:
+            _encoders[path, by_word] = cls(path, by_word)
+        return _encoders[path, by_word]
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """The ids of each text and `end`, as bytes of `dtype`."""
+        last = np.array([end], self.dtype).tobytes()
+        if not self.by_word:
+            return [i + last for i in self._ids(texts)]
+        words = [t.encode().split() for t in texts]
+        new = list({w for ws in words for w in ws if w not in self.known})
+        if len(self.known) + len(new) > KEPT:
+            self.known = {}
+            new = list({w for ws in words for w in ws})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.known.update(zip(part, self._ids([w.decode() for w in part])))
+        return [b"".join(map(self.known.__getitem__, ws)) + last for ws in words]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def train_dictionary(
+    docs: DataFrame, n_docs: int, encoder: tuple[str, bool], end: int, sample: int = 1000, sample_bytes: int = 4096, size: int = 65536
+) -> bytes:
+    """A zstandard dictionary from the id arrays of about `sample` of the `n_docs` documents, twice as many at most.
+
+    They are chosen by a hash of doc_id. Of each it sees the first
+    `sample_bytes`. Too few documents give an empty dictionary.
     """
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one_in = max(1, n_docs // sample)
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).limit(2 * sample)
 
     def run(batches):
-        encoder = Encoder(tokenizer)
         for batch in batches:
             texts = [(t or "")[: 4 * sample_bytes] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()[:sample_bytes] for a in encoder.encode(texts, end)], pa.binary())], ["ids"])
+            ids = [a[:sample_bytes] for a in Encoder.of(*encoder).encode(texts, end)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    samples = [bytes(r["ids"]) for r in picked.select(F.col("text").cast("string")).mapInArrow(run, "ids binary").collect()]
+    samples = sorted(bytes(r["ids"]) for r in picked.select("text").mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, docs_per_file: int = 8192, level: int = 3) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_word: bool = False, docs_per_file: int = 4096, level: int = 3
+) -> DataFrame:
     """Encodes `docs` (doc_id, text; other columns are ignored) and writes token files to `folder`.
 
     Documents are in ascending order of doc_id, nulls first, in each file and
@@ -105,29 +118,28 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 2
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = max(1, -(-docs.count() // docs_per_file))
+    n_docs = docs.count()
+    parts = max(1, -(-n_docs // docs_per_file))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10000, 20 * parts))).first()[0] if parts > 1 else None
     cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
-    dictionary = train_dictionary(docs, tokenizer, end)
+    dictionary = train_dictionary(docs, n_docs, (tokenizer, by_word), end)
     digest = hashlib.sha256(dictionary).digest()
     dictionary_path = f"{folder}/dictionary-{digest.hex()}"
-    fs, path = _filesystem(folder)
+    fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary-{digest.hex()}") as f:
         f.write(dictionary)
     shared = spark.sparkContext.broadcast(dictionary)
 
     def encode(batches):
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer, by_word)
         compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value)).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, texts = (c.slice(at, 512) for c in batch.columns)
-                arrays = encoder.encode([t or "" for t in texts.to_pylist()], end)
-                frames, counts = [], []
-                for a in arrays:
-                    frames.append(encoder.dtype.itemsize.to_bytes(1, "little") + compress(a.tobytes()))
-                    counts.append(len(a))
+                arrays, width = encoder.encode([t or "" for t in texts.to_pylist()], end), encoder.dtype.itemsize
+                frames = [width.to_bytes(1, "little") + compress(a) for a in arrays]
+                counts = [len(a) // width for a in arrays]
                 values = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
                 part = np.searchsorted(cuts, values, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -149,9 +161,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 2
 
     frames = docs.mapInArrow(encode, "part int, doc_id long, frame binary, n_tokens long")
     files = (
-        frames.repartition(max(len(cuts) + 1, 1), "part")
+        frames.repartition(-(-parts // 4), "part")
         .sortWithinPartitions("part", "doc_id", "frame")
-        .mapInArrow(write, "part int, path string, dictionary string, n_docs long, n_tokens long")
+        .mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
     )
     files = files.withColumn("dictionary", F.lit(dictionary_path))
     files.write.parquet(f"{folder}/files")
@@ -164,12 +176,8 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 class _Writer:
     def __init__(self, folder: str, part: int, digest: bytes, width: int):
-        import uuid
-
         self.part, self.uri = part, f"{folder}/tokens-{part:08d}.bin"
-        self.fs, self.path = _filesystem(self.uri)
-        self.tmp = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.tmp)
+        self.out = Replaced(self.uri)
         self.out.write(MAGIC + digest + struct.pack("<I", width))
         self.at, self.rows = HEAD, []
 
@@ -182,18 +190,18 @@ class _Writer:
         index = np.array(self.rows, dtype=INDEX)
         self.out.write(index.tobytes() + TAIL.pack(self.at, len(index), MAGIC))
         self.out.close()
-        self.fs.move(self.tmp, self.path)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.part], pa.int32()), pa.array([self.uri]), pa.array([""]), pa.array([len(index)], pa.int64()), pa.array([int(index["n_tokens"].astype("i8").sum())], pa.int64())],
-            ["part", "path", "dictionary", "n_docs", "n_tokens"],
-        )
+        columns = [
+            pa.array([self.part], pa.int32()), pa.array([self.uri]), pa.array([len(index)], pa.int64()),
+            pa.array([int(index["n_tokens"].astype("i8").sum())], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["part", "path", "n_docs", "n_tokens"])
 
 
 class TokenFile:
     """Reads one file: `index`, and any document by its place in it."""
 
     def __init__(self, uri: str, dictionary: bytes):
-        fs, path = _filesystem(uri)
+        fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         offset, n, magic = TAIL.unpack(self.file.read_at(TAIL.size, size - TAIL.size))
@@ -226,7 +234,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, dictionary, before in zip(*(batch.column(k).to_pylist() for k in ("path", "dictionary", "before"))):
-                fs, where = _filesystem(dictionary)
+                fs, where = filesystem(dictionary)
                 with fs.open_input_stream(where) as f:
                     file = TokenFile(path, f.read())
                 start, step = before, 1024
@@ -242,7 +250,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     return placed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end: int = 2, by_word: bool = False) -> DataFrame:
     """Writes `docs` as token files in a new folder beside the checkpoints, and reads them back."""
     folder = new_folder(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, folder, tokenizer, end))
+    return read_token_files(write_token_files(docs, folder, tokenizer, end, by_word))

@@ -20,10 +20,11 @@ def encode():
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_round_trip(spark, encode):
+@pytest.mark.parametrize("by_word", [True, False])
+def test_round_trip(spark, encode, by_word):
     df = docs(spark, *[f"Some words {i} and <|endoftext|> more, {'again ' * i}" for i in range(60)])
     folder = new_folder(spark, "tokens")
-    files = tokens.write_token_files(df, folder, VOCABULARY, docs_per_file=10)
+    files = tokens.write_token_files(df, folder, VOCABULARY, by_word=by_word, docs_per_file=10)
     assert files.count() > 3
     got = sorted(tokens.read_token_files(files).collect(), key=lambda r: r.start)
     rows = [(r.doc_id, encode(r.text)) for r in df.collect()]
@@ -43,11 +44,11 @@ def test_round_trip(spark, encode):
         tokens.TokenFile(one.path, b"another dictionary")
 
 
-def test_long_texts_are_cut_at_white_space(encode, monkeypatch):
-    text = "It's a test, of 12 pieces\nwith LONGER words.  " * 50
-    whole = encode(text)
-    monkeypatch.setattr(tokens, "PIECE", 37)
-    assert list(next(tokens.Encoder(VOCABULARY).encode([text], 2))) == whole
+def test_words_have_the_same_ids_in_any_text(encode, monkeypatch):
+    texts = ["It's a test, of 12 pieces\nwith\u00a0LONGER words.\x1cx  e\u0301 \u0301a", "", " <|endoftext|>tied <|startoftext|>", "Ω Σας 😀é"] * 3
+    monkeypatch.setattr(tokens, "KEPT", 10)
+    got = tokens.Encoder(VOCABULARY, True).encode(texts, 2)
+    assert [list(np.frombuffer(g, "<u2")) for g in got] == [encode(t) for t in texts]
 
 
 def test_empty(spark):
