@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +18,24 @@ from .common import new_folder, stash
 from .files import Replaced, filesystem
 
 MAGIC = b"WARC/1.1\r\n"
+#: A gzip member with an extra field "sl", which holds its lengths, compressed and not.
+MEMBER = struct.Struct("<4s6sH4sII")
+GZIP, EXTRA = b"\x1f\x8b\x08\x04", b"sl\x08\x00"
 END = b"\r\n\r\n"
 HEAD = re.compile(rb"(?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+\r\n")
 FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
 #: A record's header, with the URL in it, is read in steps of so many bytes.
 STEP = 1 << 16
+#: Stands for a null page_id in joins.
+NO_ID = -(2**63)
 
 
-def revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def revisits(dealt: DataFrame, pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Adds record_type and refers_to to `pages` (page_id, url, payload, digest; digest as lower-case hex).
 
+    `dealt` are the same rows, partitioned by __k (page_id, or NO_ID) and digest,
+    which is how the result is partitioned, too.
+
     Of rows with equal payloads of `least_bytes` at least, those with the
     largest page_id are responses and the others revisit it. Rows whose page_id
     is null revisit, too, unless all are null. Only digests that occur more than
@@ -35,14 +46,22 @@ def revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     rows = pages.select("page_id", "digest", long.alias("__long")).where("__long").distinct()
     again = rows.join(seen.where("__n > 1"), F.col("digest") == F.col("__d")).where(~F.col("page_id").eqNullSafe(F.col("__to")))
     again = again.select(F.col("page_id").alias("__p"), F.col("digest").alias("__pd"), "__to")
-    joined = pages.join(again, F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("digest") == F.col("__pd")), "left")
+    again = again.select(F.coalesce("__p", F.lit(NO_ID)).alias("__k"), F.col("__pd").alias("digest"), F.lit(True).alias("__again"), "__to")
+    joined = dealt.join(again, ["__k", "digest"], "left")
     return joined.select(
         *pages.columns,
-        F.when(F.col("__pd").isNull(), "response").otherwise("revisit").alias("record_type"),
+        F.when(F.col("__again").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("__to").alias("refers_to"),
     )
 
 
+def member(data: bytes, level: int = 4) -> bytes:
+    """A gzip member with its lengths in its header."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush() + struct.pack("<II", zlib.crc32(data), len(data))
+    return MEMBER.pack(GZIP, b"\0\0\0\0\0\xff", 12, EXTRA, MEMBER.size + len(body), len(data)) + body
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -59,40 +78,38 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return MAGIC + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + END
 
 
-def write_warc(pages: DataFrame, folder: str, pages_per_file: int = 2048, least_bytes: int = 1000) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, pages_per_file: int = 2048, least_bytes: int = 1000, compressed: bool = True) -> DataFrame:
     """Writes a record for each row of `pages` (page_id, url, html; other columns are ignored) to files in `folder`.
 
     The payload is the html in UTF-8, empty for null. Rows are dealt to files by
-    page_id and payload, and a file keeps them in that order. Returns the table
-    of files (path, size), also written to `folder`/files.
+    page_id and payload, in the one shuffle of payloads, and a file keeps them
+    in that order. Compressed, each record is a gzip member of its own. Returns
+    the table of files (path, size), also written to `folder`/files.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
-    n = max(1, -(-pages.count() // pages_per_file))
+    n = max(-(-pages.count() // pages_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches):
-        out, file = None, None
+        out = None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("file", "page_id", "url", "payload", "digest", "refers_to", "record_type")]
-            for k, *row, kind in zip(*columns):
-                if k != file:
-                    if out:
-                        yield closed(out, uri)
-                    file, uri = k, f"{folder}/pages-{k:08d}.warc"
+            columns = [batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "refers_to", "record_type")]
+            for *row, kind in zip(*columns):
+                if out is None:
+                    uri = f"{folder}/pages-{TaskContext.get().partitionId():08d}.warc{'.gz' * compressed}"
                     out = Replaced(uri)
-                out.write(record(*row, kind == "revisit"))
+                data = record(*row, kind == "revisit")
+                out.write(member(data) if compressed else data)
         if out:
-            yield closed(out, uri)
-
-    def closed(out: Replaced, uri: str) -> pa.RecordBatch:
-        size = out.out.tell()
-        out.close()
-        return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size])], ["path", "size"])
+            size = out.out.tell()
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size])], ["path", "size"])
 
-    rows = revisits(pages, least_bytes).withColumn("file", F.pmod(F.xxhash64("page_id", "digest"), F.lit(n)).cast("int"))
-    files = rows.repartition(n, "file").sortWithinPartitions("file", "page_id", "digest").mapInArrow(write, "path string, size long")
+    dealt = pages.withColumn("__k", F.coalesce("page_id", F.lit(NO_ID))).repartition(n, "__k", "digest")
+    rows = revisits(dealt, pages, least_bytes)
+    files = rows.sortWithinPartitions("page_id", "digest").mapInArrow(write, "path string, size long")
     files.write.parquet(f"{folder}/files")
     return spark.read.schema(files.schema).parquet(f"{folder}/files")
 
@@ -104,17 +121,17 @@ class Block:
         fs, where = filesystem(path)
         self.file, self.start, self.end = fs.open_input_file(where), start, end
         self.data = self.file.read_at(end - start, start)
+        self.compressed = path.endswith(".gz")
+        self.magic = GZIP if self.compressed else MAGIC
 
     def read(self, at: int, stop: int) -> bytes:
-        while self.start + len(self.data) < stop:
-            more = self.file.read_at(stop - self.start - len(self.data), self.start + len(self.data))
-            if not more:
-                break
-            self.data += more
+        have = self.start + len(self.data)
+        if stop > have:
+            self.data += self.file.read_at(stop - have, have)
         return self.data[at - self.start : stop - self.start]
 
     def header(self, at: int) -> tuple[dict[bytes, bytes], int] | None:
-        """A record's fields and where its block begins, if there is a well-formed header at `at`."""
+        """An uncompressed record's fields and where its block begins, if there is a well-formed header at `at`."""
         size = STEP
         while True:
             data = self.read(at, at + size)
@@ -128,17 +145,35 @@ class Block:
             size *= 2
 
     def successor(self, at: int) -> int | None:
-        if found := self.header(at):
-            return found[1] + int(found[0][b"content-length"]) + len(END)
-        return None
+        """Where the record that begins at `at` says that the next one does; nothing if none can begin there."""
+        if not self.compressed:
+            found = self.header(at)
+            return found and found[1] + int(found[0][b"content-length"]) + len(END)
+        head = self.read(at, at + MEMBER.size)
+        if len(head) < MEMBER.size:
+            return None
+        magic, _, extra_size, extra, size, _ = MEMBER.unpack(head)
+        return at + size if (magic, extra_size, extra) == (GZIP, 12, EXTRA) and size > MEMBER.size else None
+
+    def record(self, at: int) -> tuple[dict[bytes, bytes], bytes, int] | None:
+        """The fields and the block of the record at `at`, and where the next one begins."""
+        to = self.successor(at)
+        if to is None:
+            return None
+        if self.compressed:
+            data = zlib.decompress(self.read(at, to), 31)
+            m = HEAD.match(data, len(MAGIC))
+            return {k.lower(): v for k, v in FIELD.findall(m[0])}, data[m.end() : -len(END)], to
+        fields, begin = self.header(at)
+        return fields, self.read(begin, to - len(END)), to
 
     def candidates(self) -> Iterator[int]:
         """Every place in the block where a record might begin."""
-        data = self.read(self.start, self.end + len(MAGIC) - 1)
-        at = data.find(MAGIC)
+        data = self.read(self.start, self.end + len(self.magic) - 1)
+        at = data.find(self.magic)
         while at >= 0:
             yield self.start + at
-            at = data.find(MAGIC, at + 1)
+            at = data.find(self.magic, at + 1)
 
 
 def _exits(block: Block) -> dict[int, int]:
@@ -217,10 +252,9 @@ SCHEMA = pa.schema([
 
 def _records(block: Block, at: int) -> Iterator[dict]:
     number = lambda v: int(m[1]) if v and (m := re.match(rb"<urn:page:(-?\d+)>", v)) else None
-    while at < block.end and (found := block.header(at)):
-        fields, begin = found
-        stop = begin + int(fields[b"content-length"])
-        http, _, payload = block.read(begin, stop).partition(END)
+    while at < block.end and (found := block.record(at)):
+        fields, data, at = found
+        http, _, payload = data.partition(END)
         revisit = fields[b"warc-type"] == b"revisit"
         digest = fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
         if not revisit and hashlib.sha1(payload).hexdigest() != digest:
@@ -234,7 +268,6 @@ def _records(block: Block, at: int) -> Iterator[dict]:
             "refers_to": number(fields.get(b"warc-refers-to")),
             "payload": None if revisit else payload,
         }
-        at = stop + len(END)
 
 
 def archived(pages: DataFrame) -> DataFrame:

@@ -29,10 +29,10 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [700, 8 << 20])
-def test_round_trip(spark, block):
+@pytest.mark.parametrize(("block", "compressed"), [(700, False), (300, True), (8 << 20, False), (8 << 20, True)])
+def test_round_trip(spark, block, compressed):
     df = pages(spark)
-    files = warc.write_warc(df, new_folder(spark, "warc"), pages_per_file=20)
+    files = warc.write_warc(df, new_folder(spark, "warc"), pages_per_file=20, compressed=compressed)
     got = warc.read_warc(files, block_bytes=block).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(df.collect())
     html = {r.page_id: r.html or "" for r in df.collect()}
@@ -40,5 +40,17 @@ def test_round_trip(spark, block):
     assert {r.url for r in got if r.page_id == 3} == {"http://h/3%20%C3%BC"}
 
 
+def test_members_inside_a_member(spark, tmp_path):
+    trap = warc.member(warc.record(9, "http://trap", b"t" * 99, "0" * 40, None, False), level=0)
+    rows = [(1, b"a" * 3000), (2, trap * 40), (3, b"c" * 10)]
+    data = b"".join(warc.member(warc.record(i, None, p, hashlib.sha1(p).hexdigest(), None, False), level=0) for i, p in rows)
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(data)
+    assert data.count(warc.GZIP) == 43
+    files = spark.createDataFrame([(str(path), len(data))], "path string, size long")
+    for block in (200, 1000, 1 << 20):
+        assert sorted((r.page_id, bytes(r.payload)) for r in warc.read_warc(files, block).collect()) == rows
+
+
 def test_empty(spark):
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
