@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 
@@ -33,6 +34,9 @@ MAGIC = b"TDTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 TAIL = struct.Struct("<QQ8s")
 HEAD = len(MAGIC) + 32 + 4
+#: ASCII marks after a letter or digit at the end of a word.
+MARKS = re.compile(rb"(?<=[a-z0-9])[!-/:-@\[-`{-~]+\Z")
+PLAIN = re.compile(rb"[a-z]+")
 #: Words whose ids a worker keeps; beyond that it starts anew.
 KEPT = 500_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -41,9 +45,10 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 class Encoder:
     """A tokenizer of the tokenizers library, kept by each worker with the ids of words that it has met.
 
-    `by_word` is for tokenizers that drop white space and never join what it
-    parts: words between ASCII white space then have the same ids wherever they
-    stand. Other tokenizers encode whole texts.
+    `by_word` is for tokenizers that lower-case, drop white space, never join
+    what it parts, and part letters and digits from marks: a word then has the
+    same ids wherever it stands, in capitals or not, and with or without marks
+    after it. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -65,20 +70,38 @@ class Encoder:
         last = np.array([end], self.dtype).tobytes()
         if not self.by_word:
             return [i + last for i in self._ids(texts)]
-        words = [t.encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
+        words = [_words(t.encode()) for t in texts]
+        new = {w for ws in words for w in ws if w not in self.known}
         if len(self.known) + len(new) > KEPT:
             self.known = {}
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self._ids([w.decode() for w in part])))
+            new = {w for ws in words for w in ws}
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, ws)) + last for ws in words]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Gets the ids of new words; marks at their ends have ids of their own."""
+        known, cut = self.known, {w: (w[: m.start()], m[0]) for w in words if b"<|" not in w and (m := MARKS.search(w))}
+        parts = {p for pair in cut.values() for p in pair} | words - cut.keys()
+        rest = []
+        for p in parts - known.keys():
+            if PLAIN.fullmatch(p):  # its own normal form, and one word to the model
+                known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p.decode())], self.dtype).tobytes()
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._ids([w.decode() for w in part])))
+        known.update({w: known[a] + known[b] for w, (a, b) in cut.items()})
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Lower-case words; as they are where the text may hold a special token."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 def train_dictionary(
     docs: DataFrame, n_docs: int, encoder: tuple[str, bool], end: int, sample: int = 1000, sample_bytes: int = 4096, size: int = 65536
 ) -> bytes:

@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -45,7 +46,9 @@ def test_round_trip(spark, encode, by_word):
 
 
 def test_words_have_the_same_ids_in_any_text(encode, monkeypatch):
-    texts = ["It's a test, of 12 pieces\nwith\u00a0LONGER words.\x1cx  e\u0301 \u0301a", "", " <|endoftext|>tied <|startoftext|>", "Ω Σας 😀é"] * 3
+    texts = ["It's a test, of 12 pieces\nwith\u00a0LONGER words.\x1cx  e\u0301 \u0301a", "", " <|endoftext|>tied <|startoftext|>", "Ω Σας 😀é", "DOGS' dog's 'S ends. É, x!!'s a.b., (it's) 5!x ÀB-. \\ I'LL'", "<|ENDOFTEXT|>", "<|ENDOFTEXT|> A"]
+    rnd = random.Random(12)
+    texts += ["".join(rnd.choice("aB1'sS.,!é\u0301 \n<|>-") for _ in range(60)) for _ in range(300)]
     monkeypatch.setattr(tokens, "KEPT", 10)
     got = tokens.Encoder(VOCABULARY, True).encode(texts, 2)
     assert [list(np.frombuffer(g, "<u2")) for g in got] == [encode(t) for t in texts]
