@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import stash
+
 
 def number_rows(df: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
     """Adds a dense 1-based number: in the given order, else in order of arrival.
 
     Rows keep to their partitions, which are counted by one extra job; the
     counts (one row for each partition) give each its first number. With an
-    order, the table is dealt by ranges first, so no single task holds it all.
+    order, the table is dealt by ranges first, so no single task holds it all,
+    and written: the ranges come from a sample, which another run may draw anew.
     Order of arrival is as stable as the input's plan: a scan repeats it, a
     shuffle need not.
     """
-    if order:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # The id's upper bits are the partition, the lower ones the place in it.
-    df = df.withColumn("__at", F.monotonically_increasing_id())
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df = stash(df.withColumn("__at", F.monotonically_increasing_id()), "rows")
+    else:
+        df = df.withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
     counts = df.groupBy(part.cast("long").alias("__part")).agg(F.count("*").alias("__n")).collect()
     before, total = [], 0
