@@ -100,8 +100,9 @@ def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: i
     ids = following(keyed.groupBy("k").agg(F.max(third).alias("third")))
     full = keyed.select("k", "text", sketch(F.col("text"), fraction, shingle).alias("sketch"))
 
-    least = F.row_number().over(Window.partitionBy("k").orderBy("text"))
-    ahead = full.withColumn("__place", least).where("__place = 1").select(
+    # The first of each k is the one with none before it. A filter on a rank would be pushed below the shuffle, and it could not be shared.
+    before = F.lag("k").over(Window.partitionBy("k").orderBy("text"))
+    ahead = full.withColumn("__before", before).where("__before is null").select(
         F.col("k").alias("next_k"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")
     )
     given = ahead.join(ids.withColumnRenamed("k", "to_k"), "next_k").select(
