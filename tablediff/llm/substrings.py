@@ -150,7 +150,8 @@ def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([ids.slice(i, 256).take(row), hs.slice(i, 256).take(row), *columns], ["id", "h", "anchor", "words", "place"])
 
     every = docs.mapInArrow(cut, "id long, h long, anchor long, words long, place long")
-    often = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    # Written first: a join of two plain shuffles is one that Spark can split where an anchor is very common.
+    often = stash(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
     some = stash(every.join(often, "anchor", "left_semi"), "passages")
 
     where = F.struct("id", "h", "place")
@@ -159,7 +160,7 @@ def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFr
     start, n = F.floor(F.col("place") / RUN).cast("long"), (F.col("place") % RUN).cast("long")
     again = again.select("id", "h", start.alias("start"), n.alias("n"))
 
-    variants = firsts.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
+    variants = stash(firsts.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "anchors")
     total = variants.agg(F.coalesce(F.sum("variants"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
     open_ = firsts.join(variants, "anchor").select("first.*", "anchor", (F.col("variants") > hot).alias("hot"))
