@@ -31,7 +31,13 @@ def date_pattern(date_format: str) -> str:
             if d != "%" and d not in DIRECTIVES:
                 raise InputError(f"`date_format` has an unknown directive: %{d}")
             out += "%" if d == "%" else DIRECTIVES[d]
-        elif c.isalpha() or c in "'[]{}#":
+        elif c.isalpha():
+            stop = at
+            while date_format[stop : stop + 1].isalpha():
+                stop += 1
+            out += f"'{date_format[at:stop]}'"
+            at = stop - 1
+        elif c in "'[]{}#":
             out += "''" if c == "'" else f"'{c}'"
         else:
             out += c
@@ -64,7 +70,8 @@ def number_text(v: Column) -> Column:
     fixed = F.regexp_replace(F.regexp_replace(F.when(size >= 1, big).otherwise(small), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     small_fixed = F.when(fixed.contains("E"), scientific).otherwise(fixed)
     return (
-        F.when(F.isnan(v), "NaN")
+        F.when(v.isNull(), None)
+        .when(F.isnan(v), "NaN")
         .when(v == float("inf"), "Inf")
         .when(v == float("-inf"), "-Inf")
         .when(v == 0, "0")
