@@ -20,6 +20,21 @@ def ordinal(column: Column, values: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), column)
 
 
+def root_mean_square(size: Column) -> Column:
+    """Of sizes whose squares may be beyond what a double holds, in one pass.
+
+    Sums of squares are kept at three scales, powers of two and so without
+    rounding; the largest size tells which of them can neither overflow nor vanish.
+    """
+    top, scale = F.max(size), 2.0**600
+
+    def at(k: float) -> Column:
+        return F.sqrt(F.avg((size * k) * (size * k))) / k
+
+    exact = F.when(top > 1e150, at(1 / scale)).when(top < 1e-140, at(scale)).otherwise(at(1.0))
+    return F.when((top == float("inf")) | (top == 0), top).otherwise(exact)
+
+
 def diff_summary(d: DiffResult) -> DataFrame:
     """A row for each measure, in x's order: n, n_same, n_changed, n_only_x, n_only_y.
 
@@ -36,12 +51,6 @@ def diff_summary(d: DiffResult) -> DataFrame:
     if d.shape == "cells":
         pair = finite_pair(d.own("value_x"), d.own("value_y"))
         size, rel = F.when(pair, d.own("abs_diff")), F.when(pair, d.own("rel_diff"))
-        # Squares are taken of differences divided by the largest, which can neither overflow nor vanish. One row for each measure.
-        most = df.groupBy("__metric").agg(F.max(size).alias("__most"))
-        df = df.join(F.broadcast(most.withColumnRenamed("__metric", "__of")), F.col("__metric") == F.col("__of"))
-        share = F.when(F.col("__most") > 0, size / F.nullif(F.col("__most"), F.lit(0.0))).otherwise(size)
-        top = F.max("__most")
-        rmse = F.when((top == float("inf")) | (top == 0), top).otherwise(top * F.sqrt(F.avg(share * share)))
-        counts += [top.alias("max_abs_diff"), F.avg(size).alias("mean_abs_diff"), rmse.alias("rmse"), F.max(rel).alias("max_rel_diff")]
+        counts += [F.max(size).alias("max_abs_diff"), F.avg(size).alias("mean_abs_diff"), root_mean_square(size).alias("rmse"), F.max(rel).alias("max_rel_diff")]
     out = df.groupBy("__metric").agg(*counts)
     return out.orderBy(ordinal(F.col("__metric"), d.measures)).withColumnRenamed("__metric", "metric")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -231,7 +232,8 @@ def diff_table(
     # Numbers and types of rows.
     needs_number = bool(cast and off) or duplicates != "aggregate" or row_key != "none"
     if needs_number:
-        wx, wy = number_rows(wx, "__row", _order(wx, order_by)), number_rows(wy, "__row", _order(wy, order_by))
+        with ThreadPoolExecutor(2) as pool:  # each runs a job
+            wx, wy = pool.map(lambda w: number_rows(w, "__row", _order(w, order_by)), (wx, wy))
     truncated, lost_rows = [], None
     if cast and off:
         plan = {inner[c]: (label_y[c], types_y[c], types_x[c]) for c in names}
