@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ TAIL = struct.Struct("<QQ8s")
 HEAD = len(MAGIC) + 32 + 4
 #: ASCII marks after a letter or digit at the end of a word.
 MARKS = re.compile(rb"(?<=[a-z0-9])[!-/:-@\[-`{-~]+\Z")
-PLAIN = re.compile(rb"[a-z]+")
+#: Byte-level models see a byte that is no printable character as the next one from 256 on.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
 #: Words whose ids a worker keeps; beyond that it starts anew.
 KEPT = 500_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -82,10 +85,14 @@ class Encoder:
         """Gets the ids of new words; marks at their ends have ids of their own."""
         known, cut = self.known, {w: (w[: m.start()], m[0]) for w in words if b"<|" not in w and (m := MARKS.search(w))}
         parts = {p for pair in cut.values() for p in pair} | words - cut.keys()
-        rest = []
+        rest, model = [], self.tokenizer.model
         for p in parts - known.keys():
-            if PLAIN.fullmatch(p):  # its own normal form, and one word to the model
-                known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p.decode())], self.dtype).tobytes()
+            word = p.decode()
+            if word.isalpha() and word.islower() and max(word) < "\u0250" and is_normalized("NFC", word):
+                # Latin letters in normal form are one word to the model.
+                seen = word if p.isascii() else p.decode("latin-1").translate(BYTES)
+                ids = [t.id for t in model.tokenize(seen)]
+                known[p] = np.array(ids, self.dtype).tobytes()
             else:
                 rest.append(p)
         for at in range(0, len(rest), 4096):
