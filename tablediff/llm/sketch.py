@@ -89,7 +89,8 @@ def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: i
     start of the next document in descending order of doc_id (a null doc_id is
     the least; after the last comes the first). Of documents with the same
     doc_id, the one with the least text is the next one of others; each gets a
-    row of its own. A null text is as an empty one.
+    row of its own. A null text is as an empty one. Equal texts have likeness 1,
+    also those too short for their sketch to hold anything.
 
     Texts are dealt by doc_id once, with their sketches; what goes to a neighbour
     is the part of the text that it needs, and the sketch.
@@ -103,13 +104,14 @@ def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: i
     # The first of each k is the one with none before it. A filter on a rank would be pushed below the shuffle, and it could not be shared.
     before = F.lag("k").over(Window.partitionBy("k").orderBy("text"))
     ahead = full.withColumn("__before", before).where("__before is null").select(
-        F.col("k").alias("next_k"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")
+        F.col("k").alias("next_k"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"),
+        F.xxhash64("text").alias("next_hash"),
     )
     given = ahead.join(ids.withColumnRenamed("k", "to_k"), "next_k").select(
-        "to_k", F.substring("next_text", F.lit(1), F.col("third")).alias("given"), "next_sketch"
+        "to_k", F.substring("next_text", F.lit(1), F.col("third")).alias("given"), "next_sketch", "next_hash"
     )
     both = full.join(given, F.col("k") == F.col("to_k")).select(
-        "k", "text", "sketch", "next_sketch", F.char_length("text").alias("n_chars"), F.concat(
+        "k", "text", "sketch", "next_sketch", (F.xxhash64("text") == F.col("next_hash")).alias("same_next"), F.char_length("text").alias("n_chars"), F.concat(
             F.substring("text", F.lit(1), F.char_length("text") - third), F.substring("given", F.lit(1), third)
         ).alias("edited")
     )
@@ -120,8 +122,8 @@ def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: i
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.when(F.col("edited") == F.col("text"), 1.0).otherwise(likeness(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
+        F.when(F.col("same_next"), 1.0).otherwise(likeness(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"),
         containment(F.col("sketch"), F.col("next_sketch")).alias("contained_next"),
     )

@@ -33,6 +33,7 @@ def test_edits_and_estimates(spark):
             assert 0.25 < r.near_edited < 0.75
             assert r.near_next < 0.1
     assert by_print[5].fingerprint == by_print[60].fingerprint
+    assert by_print[902].near_next == 0 and by_print[901].near_next == 1.0 and by_print[901].near_edited == 1.0
     assert by_print[901].fingerprint == by_print[900].fingerprint == ""
 
 
