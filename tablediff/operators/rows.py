@@ -43,9 +43,7 @@ def occurrence(df: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
-def virtual_key(
-    df: DataFrame, how: str, row_id: str, name: str, groups: list[str] = (), sort_by: list[str] = (), order_by: list[Column] | None = None
-) -> DataFrame:
+def virtual_key(df: DataFrame, how: str, row_id: str, name: str, groups: list[str] = (), sort_by: list[str] = ()) -> DataFrame:
     """Adds a key: the row's number (`position`), or its place by `groups` and `sort_by` (`sorted`).
 
     Missing values, NaN too, come last; ties keep the order of `row_id`. Within
