@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TERM = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
@@ -188,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
         def run(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 found = [
                     (i, index.items[k].item_id, *values)
                     for i, text in zip(*(c.to_pylist() for c in batch.columns))
@@ -212,7 +214,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
 
         def run(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
                 yield batch.filter(pa.array([not index.found(t, threshold, overlap) for t in texts], pa.bool_()))
 

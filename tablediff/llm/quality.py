@@ -10,6 +10,8 @@ from numpy.lib.stride_tricks import as_strided, sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Bytes of a chunk, and between the starts of two: chunks overlap and cover the whole text.
 CHUNK, HOP = 512, 448
 #: Bytes that a filter sees, and between two places of it.
@@ -183,7 +185,7 @@ def scored(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFra
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             scores = pa.array([network.score(t or b"") for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["doc_id", "held_out", "score"])
@@ -197,7 +199,7 @@ def accepted(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataF
     """The rows of `docs` that score at `threshold` or above."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([network.score(t or b"") >= threshold for t in texts], pa.bool_()))
 

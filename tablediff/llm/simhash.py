@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import slices, stash
 from .graph import connected_components
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """(doc_id, fp long) of each row; rows without words get 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = [majority(shingle_hashes(t, shingle, seed)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])

@@ -41,7 +41,7 @@ MARKS = re.compile(rb"(?<=[a-z0-9])[!-/:-@\[-`{-~]+\Z")
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
 #: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT = 500_000
+KEPT = 300_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
