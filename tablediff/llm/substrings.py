@@ -185,7 +185,8 @@ def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFr
     texts = docs.join(wanted, ["id", "h"]).mapInArrow(
         fetch, "id long, h long, start long, n long, anchor long, hot boolean, passage binary"
     )
-    texts = stash(texts, "passages")
+    # Repeated rows are one document, so a place comes once; their passages would else match themselves.
+    texts = stash(texts.dropDuplicates(["id", "h", "start"]), "passages")
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "h", "start"])

@@ -45,6 +45,17 @@ def test_against_brute_force(spark, least, hot, shard):
     assert sum(r.n_removed for r in got) > 500
 
 
+def test_repeated_rows_with_near_copies_keep_one(spark):
+    rnd = random.Random(8)
+    first = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    second = first[:30] + ["other"] + first[31:]
+    rows = [(1, " ".join(first)), (1, " ".join(first)), (2, " ".join(second))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept) == brute(set(rows), 20)[r.doc_id], r.doc_id
+
+
 def test_automaton():
     rnd = random.Random(5)
     automaton, known = SuffixAutomaton(), []
