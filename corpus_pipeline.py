@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablediff.llm import decontaminate, mixing, quality, simhash, tokens
+from tablediff.llm import decontaminate, minhash, mixing, quality, tokens
 from tablediff.llm.common import new_folder, table
 from tablediff.llm.queries import vocabulary
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the least doc_id."""
-    return simhash.simhash_dedup(docs, shingle=3, distance=2, seed=42)
+    """One document of each group stays, the one with the least doc_id: five words and similarity 0.8, and op1's links."""
+    return minhash.near_dedup(docs, shingle=5, similarity=0.8, seed=42)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
