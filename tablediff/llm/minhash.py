@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stash
 from .graph import connected_components
-from .simhash import links, majority, shingle_hashes
+from .simhash import links, majority, one_each, shingle_hashes
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000.
 BANDS, ROWS = 26, 5
@@ -171,12 +171,3 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed:
         "doc_id", "h", F.coalesce("root", "h").alias("root")
     )
     return one_each(docs, placed)
-
-
-def one_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The row of `docs` with the least doc_id (null last), then text hash, for each root of `placed` (doc_id, h, root)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    ids = placed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__key"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -133,12 +133,20 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, seed: i
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each group.
+    """One row of `docs` for each group: that with the least doc_id (null is the last), then the least text hash.
 
-    Of rows with the same doc_id one stays, too. Rows with a null doc_id stay
-    only if no other row of their group has a doc_id, and then one of them does.
+    Only rows of the same group go, whatever doc_id they share or lack.
     """
-    groups = simhash_groups(docs, **options).where("doc_id <=> component_id")
-    ids = groups.select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    h = F.xxhash64(F.col("text").cast("string"))
+    groups = simhash_groups(docs.select(h.alias("doc_id"), "text"), **options)
+    groups = groups.select(F.col("doc_id").alias("h"), F.col("component_id").alias("root")).distinct()
+    return one_each(docs, docs.select(F.col("doc_id").cast("long"), h.alias("h")).join(groups, "h"))
+
+
+def one_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The row of `docs` with the least doc_id (null last), then text hash, for each root of `placed` (doc_id, h, root)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    ids = placed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__key"))
+    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -68,6 +68,14 @@ def test_one_of_each_group_stays(spark):
     assert kept.count() == len({i for i, _, c in rows if i == c})
 
 
+def test_rows_of_other_groups_stay(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(50))
+    rows = [(None, text()), (None, text()), (5, text()), (5, text())]
+    df = spark.createDataFrame([*rows, rows[0], rows[3]], "doc_id long, text string")
+    assert sorted(map(tuple, simhash_dedup(df).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS_SCHEMA)
     assert simhash_groups(empty).count() == 0
