@@ -10,16 +10,20 @@ kilobyte a word. So the reference is cut to what recurs, and dealt to shards:
    consecutive windows with the same anchor are a passage. Passages whose anchor
    occurs once in the corpus hold no repeats.
 2. Of passages with equal words only the first can be new; the others are repeats.
+   A document gives one row for each of its different passages, with all places.
 3. The first ones, where different passages share an anchor, go to the shard of
    their anchor. It reads them in order of the corpus, matches each against the
    suffix automaton of the earlier ones, and adds it: where the matching
-   statistic reaches `least`, a window started earlier. For an anchor in very
-   many passages, their windows are grouped by their words instead.
+   statistic reaches `least`, a window started earlier. For an anchor in many
+   different passages, their windows are grouped by their words instead.
+
+Words that are equal are told by 128 bits of BLAKE2b of their bytes, in which no
+two different sequences are known to agree.
 """
 
 from __future__ import annotations
 
-import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -59,11 +63,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def passages(words: list[bytes], least: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors, hashes of all words, and places of the passages of a text."""
+def digests(words: list[bytes], first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Two numbers (rows of an array) for each run of words from `first` to before `stop`: BLAKE2b of them, joined by spaces."""
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    made = [blake2b(text[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), (ends[stop - 1] - 1).tolist())]
+    return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
+
+
+def passages(words: list[bytes], least: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The different passages of a text: their anchors, digests, and all places of each, in order."""
     n, k = len(words), max(1, least // 3)
     if n < least:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), []
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     up, down = powers.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -79,7 +92,15 @@ def passages(words: list[bytes], least: int, powers: Powers) -> tuple[np.ndarray
     least_at += np.arange(len(least_at))
     first = np.flatnonzero(np.diff(least_at, prepend=-1))
     stop = np.append(first[1:], len(least_at))
-    return grams[least_at[first]].view(np.int64), span(first, stop + least - 1).view(np.int64), first * RUN + (stop - first)
+    anchors, found = grams[least_at[first]].view(np.int64), digests(words, first, stop + least - 1)
+    places: dict[tuple[int, int], list[int]] = {}
+    for key, place in zip(map(tuple, found.tolist()), (first * RUN + (stop - first)).tolist()):
+        places.setdefault(key, []).append(place)
+    if len(places) < len(first):
+        at = {key: k for k, key in reversed(list(enumerate(map(tuple, found.tolist()))))}
+        kept = [at[key] for key in places]
+        anchors, found = anchors[kept], found[kept]
+    return anchors, found, list(places.values())
 
 
 class SuffixAutomaton:
@@ -135,8 +156,11 @@ class SuffixAutomaton:
         return out
 
 
+PASSAGE = "id long, h long, anchor long, w1 long, w2 long, places array<long>"
+
+
 def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFrame:
-    """(id, h, start, n): n windows from word `start` on of document (id, h) that start earlier in `docs` (id, h, text)."""
+    """(id, h, places) of what starts earlier in `docs` (id, h, text): a place is a word times RUN plus a number of windows from it on."""
 
     def cut(batches):
         powers = Powers()
@@ -144,21 +168,25 @@ def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFr
             ids, hs, texts = batch.columns[0], batch.columns[1], batch.column(2).cast(pa.binary())
             for i in range(0, batch.num_rows, 256):
                 found = [passages((t or b"").split(), least, powers) for t in texts.slice(i, 256).to_pylist()]
-                times = [len(f[0]) for f in found]
-                row = pa.array(np.repeat(np.arange(len(found)), times))
-                columns = [pa.array(np.concatenate([f[k] for f in found])) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 256).take(row), hs.slice(i, 256).take(row), *columns], ["id", "h", "anchor", "words", "place"])
-
-    every = docs.mapInArrow(cut, "id long, h long, anchor long, words long, place long")
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                words = np.concatenate([f[1] for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(i, 256).take(row), hs.slice(i, 256).take(row), pa.array(np.concatenate([f[0] for f in found])),
+                        pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([p for f in found for p in f[2]], pa.list_(pa.int64())),
+                    ],
+                    ["id", "h", "anchor", "w1", "w2", "places"],
+                )
+
+    every = docs.mapInArrow(cut, PASSAGE)
     # Written first: a join of two plain shuffles is one that Spark can split where an anchor is very common.
-    often = stash(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
+    often = stash(every.groupBy("anchor").agg(F.sum(F.size("places")).alias("m")).where("m > 1").select("anchor"), "anchors")
     some = stash(every.join(often, "anchor", "left_semi"), "passages")
 
-    where = F.struct("id", "h", "place")
-    firsts = stash(some.groupBy("anchor", "words").agg(F.min(where).alias("first")), "passages")
-    again = some.join(firsts, ["anchor", "words"]).where(where != F.col("first")).select("id", "h", "place")
-    start, n = F.floor(F.col("place") / RUN).cast("long"), (F.col("place") % RUN).cast("long")
-    again = again.select("id", "h", start.alias("start"), n.alias("n"))
+    where = F.struct("id", "h", F.get("places", F.lit(0)).alias("place"))
+    firsts = stash(some.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.first("anchor").alias("anchor")), "passages")
+    rest = F.when(where == F.col("first"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places"))
+    again = some.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).select("id", "h", rest.alias("places")).where("size(places) > 0")
 
     variants = stash(firsts.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "anchors")
     total = variants.agg(F.coalesce(F.sum("variants"), F.lit(0))).first()[0]
@@ -193,36 +221,39 @@ def repeated_ranges(docs: DataFrame, least: int, shard: int, hot: int) -> DataFr
         automaton, out = SuffixAutomaton(), []
         for i, h, start, passage in zip(group["id"], group["h"], group["start"], group["passage"]):
             words = passage.split()
-            for end, length in enumerate(automaton.matches(words)):
-                if length >= least:
-                    out.append((i, h, start + end - least + 1, 1))
+            ends = [end for end, length in enumerate(automaton.matches(words)) if length >= least]
+            if ends:
+                out.append((i, h, [(start + end - least + 1) * RUN + 1 for end in ends]))
             automaton.add(words)
-        return pd.DataFrame(out, columns=["id", "h", "start", "n"]).astype("int64")
+        return pd.DataFrame(out, columns=["id", "h", "places"])
 
     cold = texts.where("not hot").withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    cold = cold.groupBy("shard").applyInPandas(match, "id long, h long, start long, n long")
+    cold = cold.groupBy("shard").applyInPandas(match, "id long, h long, places array<long>")
 
     def windows(batches):
         for batch in batches:
-            rows = [
-                (i, h, start + k, b" ".join(words[k : k + least]))
-                for i, h, start, n, passage in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "start", "n", "passage")))
-                for words in [passage.split()]
-                for k in range(n)
-            ]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["id", "h", "start", "window"]
-            )
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, hs, starts, ns, passages = (part.column(c) for c in ("id", "h", "start", "n", "passage"))
+                counts = ns.to_numpy()
+                row = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                keys = [digests(p.split(), np.arange(n), np.arange(n) + least) for p, n in zip(passages.to_pylist(), counts.tolist())]
+                keys = np.concatenate(keys) if keys else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(row), hs.take(row), pa.array(starts.take(row).to_numpy() + within), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())],
+                    ["id", "h", "start", "w1", "w2"],
+                )
 
-    single = texts.where("hot").mapInArrow(windows, "id long, h long, start long, window binary")
+    single = texts.where("hot").mapInArrow(windows, "id long, h long, start long, w1 long, w2 long")
     here = F.struct("id", "h", "start")
-    earliest = single.groupBy("window").agg(F.min(here).alias("first"), F.count("*").alias("m")).where("m > 1")
-    very = single.join(earliest, "window").where(here != F.col("first")).select("id", "h", "start", F.lit(1).cast("long").alias("n"))
+    # Written for the same reason as the anchors.
+    earliest = stash(single.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "windows")
+    very = single.join(earliest, ["w1", "w2"]).where(here != F.col("first")).select("id", "h", F.array(F.col("start") * RUN + 1).alias("places"))
     return again.union(cold).union(very)
 
 
-def substring_dedup(docs: DataFrame, least: int = 20, shard: int = 2000, hot: int = 1000) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = 20, shard: int = 2000, hot: int = 64) -> DataFrame:
     """Removes from `docs` (doc_id, text; other columns are ignored) words in windows of `least` words that start earlier.
 
     Earlier is by doc_id (null first), then by place; of different texts with the
@@ -241,7 +272,7 @@ def substring_dedup(docs: DataFrame, least: int = 20, shard: int = 2000, hot: in
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     once = stash(repeated_ranges(rows, least, shard, hot), "ranges")
-    ranges = once.groupBy("id", "h").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))  # bounded by the document
+    ranges = once.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("ranges"))  # bounded by the document
 
     def remove(batches):
         for batch in batches:
@@ -251,9 +282,9 @@ def substring_dedup(docs: DataFrame, least: int = 20, shard: int = 2000, hot: in
                 gone = 0
                 if ranges.is_valid:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    for r in ranges.as_py():
-                        edges[r["start"]] += 1
-                        edges[r["start"] + r["n"] + least - 1] -= 1
+                    start, n = np.divmod(ranges.values.to_numpy(), RUN)
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + n + least - 1, -1)
                     covered = np.cumsum(edges[:-1]) > 0
                     gone = int(covered.sum())
                     words = [w for w, c in zip(words, covered) if not c]
