@@ -125,30 +125,34 @@ def _in_buckets(full: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _apart(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a full bucket that no links connect yet and that can reach the similarity.
-
-    Either they share a shingle outside the core, or they share at most what
-    the one with less of the core has of it. Then that bounds the size of the
-    other, so such pairs are joined by their sizes.
+    """Pairs (a < b) of a full bucket that no links connect yet and that can reach the similarity.
+
+    With the shingles of a text in one order for all, those outside the core
+    first, two texts that reach it share one of their first size - least + 1
+    shingles, `least` being the fewest that they have to share. So either they
+    share one of those outside the core, and enough can follow it, or they share
+    at most what the one with less of the core has of it; that bounds the size
+    of the other, and such pairs are joined by their sizes.
     """
     placed = held.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     placed = stash(placed.join(mixed, "key").select("key", "h", "root", "size", "inside", "outside"), "bands")
-    side = lambda df, x: df.select("key", "on", F.col("h").alias(x), F.col("root").alias(f"r_{x}"))
-    pairs = lambda x, y: side(x, "a").join(side(y, "b"), ["key", "on"]).where("r_a <> r_b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
-    out = placed.select("key", "h", "root", F.explode("outside").alias("on"))
+    side = lambda df, x, *more: df.select("key", "on", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "root", "size", *more)])
+    fewest = F.ceil(F.col("size") * similarity - 1e-6).cast("int")
+    first = F.slice("outside", F.lit(1), F.col("size") - fewest + 1)
+    out = stash(placed.select("key", "h", "root", "size", F.posexplode(first).alias("at", "on")), "bands")
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # shared from there on, at most
+    enough = left * (1 + similarity) + 1e-6 >= similarity * (F.col("size_a") + F.col("size_b"))
+    by_shingle = side(out, "a", "at").join(side(out, "b", "at"), ["key", "on"]).where("h_a < h_b and root_a <> root_b").where(enough)
     # With m = least(inside) shared: m / (size + other - m) >= similarity, where m <= inside and m <= other.
     most = F.floor(F.col("inside") * (1 + 1 / similarity) - F.col("size") + 1e-6).cast("int")
-    fewest = F.ceil(F.col("size") * similarity - 1e-6).cast("int")
-    low = placed.where(most >= fewest).select("key", "h", "root", F.col("size").alias("size_a"), F.explode(F.sequence(fewest, most)).alias("on"))
-    sized = placed.select("key", "h", "root", F.col("size").alias("on"), "inside", "size")
-    by_size = low.select("key", "on", F.col("h").alias("a"), F.col("root").alias("r_a"), "size_a").join(
-        sized.withColumnsRenamed({"h": "b", "root": "r_b"}), ["key", "on"]
-    ).where("r_a <> r_b and a <> b").where(F.col("inside") * (1 + 1 / similarity) + 1e-6 >= F.col("size") + F.col("size_a"))
-    by_size = by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs(out, out).union(by_size).where("a < b").distinct()
+    low = placed.where(most >= fewest).select("key", "h", "root", "size", "inside", F.explode(F.sequence(fewest, most)).alias("on"))
+    other = placed.select("key", "h", "root", "size", "inside", F.col("size").alias("on"))
+    by_size = side(low, "a", "inside").join(side(other, "b", "inside"), ["key", "on"]).where("root_a <> root_b").where(
+        "inside_a < inside_b or inside_a = inside_b and h_a < h_b"
+    )
+    pairs = by_shingle.select("h_a", "h_b").union(by_size.select(F.least("h_a", "h_b"), F.greatest("h_a", "h_b")))
+    return pairs.toDF("a", "b").distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = 64) -> DataFrame:
