@@ -1,8 +1,10 @@
 """Threshold-scaled document sketches, in SQL functions only.
 
 A sketch is the sorted array of all shingle hashes below a fixed fraction of the
-hash range. It grows with the document, so a short text can be looked for in a
-long one, and the sketch of two texts together is the union of theirs.
+hash range, and of the LEAST least hashes where these are fewer, so that short
+texts have one, too. It grows with the document, so a short text can be looked
+for in a long one. Up to its bound (see `bound`) a sketch has every hash of its
+text; two sketches are compared, or merged, up to the lower of their bounds.
 """
 
 from __future__ import annotations
@@ -22,12 +24,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sketch(text: Column, fraction: float = 1 / 8, shingle: int = 5) -> Column:
+#: The part of the hash range that is kept, and how many hashes are kept at least.
+FRACTION, LEAST = 1 / 8, 64
+
+
+def _limit(fraction: float) -> int:
+    return int(-(2**63) + fraction * 2**64)
+
+
+def sketch(text: Column, fraction: float = FRACTION, shingle: int = 5, least: int = LEAST) -> Column:
     """The sketch of a text as array<bigint>: its shingles of `shingle` words, or the whole of a shorter text.
 
-    Empty for null, empty and blank texts; may be empty for short ones.
+    Empty for null, empty and blank texts only.
     """
-    limit = int(-(2**63) + fraction * 2**64)
 
     def of(words: Column) -> Column:
         return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(
@@ -37,23 +46,38 @@ def sketch(text: Column, fraction: float = 1 / 8, shingle: int = 5) -> Column:
 
     words = F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
     hashes = let(words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(F.array().cast("array<bigint>")))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))
+    below = lambda h: F.size(F.filter(h, lambda x: x < F.lit(_limit(fraction))))
+    return let(F.sort_array(F.array_distinct(hashes)), lambda h: F.slice(h, F.lit(1), F.greatest(below(h), F.lit(least))))
+
 
+def bound(a: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """The hash up to which a sketch has all hashes of its text."""
+    return F.when(F.size(a) < least, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_limit(fraction) - 1), F.element_at(a, -1)))
 
-def merged(a: Column, b: Column) -> Column:
+
+def _shared(a: Column, b: Column, then: Callable[[Column, Column], Column], fraction: float, least: int) -> Column:
+    """then(a, b) of what two sketches have up to the lower of their bounds."""
+    upto = lambda s, most: F.filter(s, lambda h: h <= most)
+    return let(F.least(bound(a, fraction, least), bound(b, fraction, least)), lambda most: then(upto(a, most), upto(b, most)))
+
+
+def merged(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
     """The sketch of both texts together."""
-    return F.array_sort(F.array_union(a, b))
+    return _shared(a, b, lambda x, y: F.sort_array(F.array_union(x, y)), fraction, least)
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Estimates which share of a's shingles b has; null if there is nothing to tell it from, as for an empty a."""
+    return _shared(a, b, lambda x, y: F.size(F.array_intersect(x, y)) / F.nullif(F.size(x), F.lit(0)), fraction, least)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimates which share of a's shingles b has; null if a's sketch is empty."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
+def likeness(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Estimates the Jaccard similarity of the shingle sets; equal sketches, empty ones too, have 1."""
 
+    def of(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda both: F.coalesce(both / F.nullif(F.size(x) + F.size(y) - both, F.lit(0)), F.lit(1.0)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimates the Jaccard similarity of the shingle sets; two empty sketches have none, 0."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
+    return _shared(a, b, of, fraction, least)
 
 
 def as_text(a: Column) -> Column:
@@ -82,15 +106,16 @@ def following(ids: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: int = 5) -> DataFrame:
+def fingerprints_with_edits(docs: DataFrame, fraction: float = FRACTION, shingle: int = 5, least: int = LEAST) -> DataFrame:
     """Sketches of all `docs` (doc_id, text; other columns are ignored) and of their edited texts.
 
     The edited text has its last third replaced by as many code points from the
     start of the next document in descending order of doc_id (a null doc_id is
     the least; after the last comes the first). Of documents with the same
     doc_id, the one with the least text is the next one of others; each gets a
-    row of its own. A null text is as an empty one. Equal texts have likeness 1,
-    also those too short for their sketch to hold anything.
+    row of its own. A null text is as an empty one. Likeness is that of the
+    fingerprints, nothing else; texts without words have equal ones. The rows of
+    one doc_id are put in order in one task, so doc_id should be a key.
 
     Texts are dealt by doc_id once, with their sketches; what goes to a neighbour
     is the part of the text that it needs, and the sketch.
@@ -99,31 +124,30 @@ def fingerprints_with_edits(docs: DataFrame, fraction: float = 1 / 8, shingle: i
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), text.alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     ids = following(keyed.groupBy("k").agg(F.max(third).alias("third")))
-    full = keyed.select("k", "text", sketch(F.col("text"), fraction, shingle).alias("sketch"))
+    full = keyed.select("k", "text", sketch(F.col("text"), fraction, shingle, least).alias("sketch"))
 
     # The first of each k is the one with none before it. A filter on a rank would be pushed below the shuffle, and it could not be shared.
     before = F.lag("k").over(Window.partitionBy("k").orderBy("text"))
     ahead = full.withColumn("__before", before).where("__before is null").select(
         F.col("k").alias("next_k"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"),
-        F.xxhash64("text").alias("next_hash"),
     )
     given = ahead.join(ids.withColumnRenamed("k", "to_k"), "next_k").select(
-        "to_k", F.substring("next_text", F.lit(1), F.col("third")).alias("given"), "next_sketch", "next_hash"
+        "to_k", F.substring("next_text", F.lit(1), F.col("third")).alias("given"), "next_sketch"
     )
     both = full.join(given, F.col("k") == F.col("to_k")).select(
-        "k", "text", "sketch", "next_sketch", (F.xxhash64("text") == F.col("next_hash")).alias("same_next"), F.char_length("text").alias("n_chars"), F.concat(
+        "k", "text", "sketch", "next_sketch", F.char_length("text").alias("n_chars"), F.concat(
             F.substring("text", F.lit(1), F.char_length("text") - third), F.substring("given", F.lit(1), third)
         ).alias("edited")
     )
-    both = both.select("*", sketch(F.col("edited"), fraction, shingle).alias("edited_sketch"))
+    both = both.select("*", sketch(F.col("edited"), fraction, shingle, least).alias("edited_sketch"))
     return both.select(
         F.nullif("k", F.lit(NO_ID)).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        F.when(F.col("edited") == F.col("text"), 1.0).otherwise(likeness(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
-        F.when(F.col("same_next"), 1.0).otherwise(likeness(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("contained_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), fraction, least).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch"), fraction, least).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), fraction, least).alias("contained_edited"),
+        containment(F.col("sketch"), F.col("next_sketch"), fraction, least).alias("contained_next"),
     )
