@@ -27,7 +27,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, mixing.repeating_weights(docs, (5, 2, 1)), max_epochs=3, seed=42)
+    mixed = mixing.mix_sizes(docs, mixing.repeating_weights(docs, (5, 2, 1)), max_epochs=3, seed=42)
     names = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
     return mixed.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
 

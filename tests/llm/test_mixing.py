@@ -62,3 +62,21 @@ def test_empty_and_wordless(spark):
     blank = docs(spark, None, "", " ", extra=False)
     rows = mixing.mix(blank, mixing.repeating_weights(blank)).collect()
     assert [(r.mix_target, r.mix_taken) for r in rows] == [(0.0, 0)] * 3
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    rows = [(i, "a" if k % 3 else None, f"w{k} " * (k % 23 + 1)) for k, i in enumerate([7] * 200 + [None] * 200 + list(range(100)))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = mixing.repeating_weights(df)
+    found = [sorted(map(str, mixing.mix(df.repartition(n), weights).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "x " * i, i, 2 * i, -1, 5) for i in range(20)], "doc_id long, source string, text string, __s int, __u int, mix_size int, of int")
+    weights = mixing.repeating_weights(df)
+    out = mixing.mix(df, weights)
+    assert out.columns == ["doc_id", "source", "text", "__s", "__u", "of", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+    assert all((r["__s"], r["__u"], r["of"], r["mix_size"]) == (r.doc_id, 2 * r.doc_id, 5, r.doc_id) for r in out.collect())
+    again = mixing.repeated(df, weights=weights)
+    assert again.columns == df.columns and {r.mix_size for r in again.collect()} == {-1}
