@@ -196,7 +196,8 @@ def read_warc(files: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     payloads too, and emits where the chain of successors from there leaves the
     block. From the start of each file, pointer jumping over these offsets finds
     where the true chain enters each block; from there the records are read. A
-    file whose chain breaks ends there. Returns page_id, url, payload_bytes,
+    file whose chain does not lead to its end is refused (ValueError, with the
+    last place that it leads to). Files of no bytes have no records. Returns page_id, url, payload_bytes,
     payload_digest, record_type, refers_to and payload (null for revisits).
     """
     blocks = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(block_bytes))).alias("start"))
@@ -226,6 +227,10 @@ def read_warc(files: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
         twice = jumps.alias("a").join(jumps.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.to") == F.col("b.at")))
         jumps = stash(twice.select("a.path", "a.at", "b.to"), "warc-jumps")
 
+    ends = reached.groupBy("path").agg(F.max("at").alias("at")).join(files.select("path", "size"), "path").where("size > 0 and at <> size")
+    if broken := ends.orderBy("path").first():
+        raise ValueError(f"{broken['path']}: no record leads on from the block at {broken['at']}; the file has {broken['size']} bytes")
+
     def read(batches):
         for batch in batches:
             for path, end, at in zip(*(batch.column(k).to_pylist() for k in ("path", "end", "at"))):
