@@ -144,9 +144,13 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The row of `docs` with the least doc_id (null last), then text hash, for each root of `placed` (doc_id, h, root)."""
+    """The row of `docs` with the least doc_id (null last), then text hash, for each root of `placed` (doc_id, h, root).
+
+    Rows that share doc_id and text give one of them. Columns of any name are kept.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    ids = placed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__key"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    ids = placed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("key"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["doc_id"].cast("long").alias("i"), F.xxhash64(docs["text"].cast("string")).alias("h"))
+    kept = keyed.join(ids, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")), "left_semi")
+    return kept.dropDuplicates(["i", "h"]).select(*names).toDF(*docs.columns)
