@@ -16,55 +16,51 @@ from .common import slices
 CHUNK, HOP = 512, 448
 #: Bytes that a filter sees, and between two places of it.
 WIDTH, STEP = 8, 4
-#: A place also has an input that tells if its bytes stood up to so many bytes before.
-LAGS = range(2, 26)
 PLACES = (CHUNK - WIDTH) // STEP + 1
 
 
 @dataclass
 class Network:
-    """Bytes are embedded, `filters` slide over each chunk, and their outputs are max- and mean-pooled.
+    """Bytes are embedded, `filters` slide over each chunk, and their outputs are max-pooled.
 
     A linear layer makes a logit of each chunk; the mean over all chunks of a
     text is the text's logit.
     """
 
     embedding: np.ndarray  # 256, size
-    filters: np.ndarray  # WIDTH * size + 1, filters
+    filters: np.ndarray  # WIDTH * size, filters
     bias: np.ndarray
     largest: np.ndarray  # weights of the max-pooled outputs
-    mean: np.ndarray  # and of the mean-pooled
     offset: np.ndarray  # one number
 
     @classmethod
-    def new(cls, rng: np.random.Generator, size: int = 4, filters: int = 16) -> Network:
+    def new(cls, rng: np.random.Generator, size: int = 6, filters: int = 32) -> Network:
         normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
         return cls(
-            normal(256, size) * 0.5, normal(WIDTH * size + 1, filters) / np.float32(np.sqrt(WIDTH * size)), np.zeros(filters, np.float32),
-            normal(filters) * 0.1, normal(filters) * 0.1, np.zeros(1, np.float32),
+            normal(256, size) * 0.5, normal(WIDTH * size, filters) / np.float32(np.sqrt(WIDTH * size)), np.zeros(filters, np.float32),
+            normal(filters) * 0.1, np.zeros(1, np.float32),
         )
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embedding, self.filters, self.bias, self.largest, self.mean, self.offset]
+        return [self.embedding, self.filters, self.bias, self.largest, self.offset]
 
     def outputs(self, chunks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For chunks (n, CHUNK) of bytes: the filters' inputs, their outputs at each place, and which places count."""
+        """For chunks (n, CHUNK) of bytes: the filters' inputs, and their outputs at each place, 0 where there is no text."""
         n, size = len(chunks), self.embedding.shape[1]
         bytes_ = self.embedding[chunks]
         s = bytes_.strides
         seen = as_strided(bytes_, (n, PLACES, WIDTH * size), (s[0], STEP * s[1], s[2])).reshape(n * PLACES, -1)
-        again = _again(chunks)
-        z = seen @ self.filters[:-1]
-        z += again.reshape(-1, 1) * self.filters[-1] + self.bias
-        out = np.maximum(z, 0).reshape(n, PLACES, -1)
+        z = seen @ self.filters
+        z += self.bias
+        out = np.maximum(z, 0, out=z).reshape(n, PLACES, -1)
         counts = np.clip((sizes - WIDTH) // STEP + 1, 1, PLACES)
         inside = np.arange(PLACES) < counts[:, None]
         out *= inside[:, :, None]
-        return seen, again, out, counts
+        return seen, out
 
     def logits(self, chunks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        _, _, out, counts = self.outputs(chunks, sizes)
-        return out.max(axis=1) @ self.largest + (out.sum(axis=1) / counts[:, None]) @ self.mean + self.offset
+        _, out = self.outputs(chunks, sizes)
+        return out.max(axis=1) @ self.largest + self.offset
 
     def score(self, text: bytes, piece: int = 256) -> float:
         """The probability of label 1, from the whole text, `piece` chunks at a time."""
@@ -88,29 +84,24 @@ def cut(text: bytes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.minimum(len(text) - starts, CHUNK)
 
 
-def _again(chunks: np.ndarray) -> np.ndarray:
-    """1 where a place's bytes also stand at one of LAGS before it in the chunk (n, PLACES)."""
-    words = np.ascontiguousarray(sliding_window_view(chunks, WIDTH, axis=1)).view(np.uint64)[:, :, 0]
-    at = np.arange(PLACES) * STEP
-    here = words[:, at]
-    found = np.zeros(here.shape, bool)
-    for lag in LAGS:
-        k = -(-lag // STEP)  # places before it have no bytes so far back
-        found[:, k:] |= here[:, k:] == words[:, at[k:] - lag]
-    return (found & (here != 0)).astype(np.float32)
+def draw(text: bytes, chunks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `chunks` chunks of a text and their sizes, drawn from all of it."""
+    n = n_chunks(len(text))
+    rng = np.random.default_rng(seed)
+    return cut(text, np.arange(n) if n <= chunks else np.sort(rng.choice(n, chunks, replace=False)))
 
 
-def fit(samples: list[tuple[bytes, int]], seed: int = 7, steps: int = 600, chunks: int = 6, batch: int = 64, rate: float = 0.01) -> Network:
-    """Trains on (text, label 0 or 1) by Adam on the log loss, for `steps` batches, about, in whole epochs.
+def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7, steps: int = 900, chunks: int = 6, batch: int = 64, rate: float = 0.01) -> Network:
+    """Trains on (chunks of a text, their sizes, label 0 or 1) by Adam on the log loss, for `steps` batches, about, in whole epochs.
 
     An epoch sees up to `chunks` chunks of each text, drawn anew. Without both
     labels the result is a constant, the share of label 1 (1 without samples).
     """
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
-    labels = np.array([y for _, y in samples], np.float32)
+    labels = np.array([y for *_, y in samples], np.float32)
     if len(set(labels.tolist())) < 2:
-        net.largest[:] = net.mean[:] = 0
+        net.largest[:] = 0
         net.offset[:] = 8 if not len(labels) or labels[0] else -8
         return net
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
@@ -122,10 +113,10 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 7, steps: int = 600, chunk
         for at in range(0, len(order), batch):
             rows, data, sizes = order[at : at + batch], [], []
             for r in rows:
-                n = n_chunks(len(samples[r][0]))
-                part, size = cut(samples[r][0], np.arange(n) if n <= chunks else np.sort(rng.choice(n, chunks, replace=False)))
-                data.append(part)
-                sizes.append(size)
+                part, size, _ = samples[r]
+                some = slice(None) if len(part) <= chunks else np.sort(rng.choice(len(part), chunks, replace=False))
+                data.append(part[some])
+                sizes.append(size[some])
             owner = np.repeat(np.arange(len(rows)), [len(d) for d in data])
             gradients = _gradients(net, np.concatenate(data), np.concatenate(sizes), owner, labels[rows])
             step += 1
@@ -138,22 +129,21 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 7, steps: int = 600, chunk
 
 
 def _gradients(net: Network, chunks: np.ndarray, sizes: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-    seen, again, out, counts = net.outputs(chunks, sizes)
+    seen, out = net.outputs(chunks, sizes)
     n, _, filters = out.shape
     top, largest = out.argmax(axis=1), out.max(axis=1)
-    mean = out.sum(axis=1) / counts[:, None]
     per = np.bincount(owner, minlength=len(labels))
-    logit = np.bincount(owner, largest @ net.largest + mean @ net.mean + net.offset, len(labels)) / per
+    logit = np.bincount(owner, largest @ net.largest + net.offset, len(labels)) / per
     d = ((1 / (1 + np.exp(-logit)) - labels) / len(labels) / per)[owner].astype(np.float32)
-    dz = np.repeat((d / counts)[:, None, None] * net.mean, PLACES, axis=1)
-    dz[np.arange(n)[:, None], top, np.arange(filters)] += d[:, None] * net.largest
+    dz = np.zeros_like(out)
+    dz[np.arange(n)[:, None], top, np.arange(filters)] = d[:, None] * net.largest
     dz *= out > 0
-    dz = dz.reshape(-1, filters).astype(np.float32)
-    d_filters = np.vstack([seen.T @ dz, again.reshape(1, -1) @ dz])
-    d_seen = (dz @ net.filters[:-1].T).reshape(-1, WIDTH, net.embedding.shape[1])
+    dz = dz.reshape(-1, filters).astype(net.filters.dtype)
+    d_filters = seen.T @ dz
+    d_seen = (dz @ net.filters.T).reshape(-1, WIDTH, net.embedding.shape[1])
     at = sliding_window_view(chunks, WIDTH, axis=1)[:, ::STEP].reshape(-1)
     d_embedding = np.stack([np.bincount(at, d_seen[:, :, k].reshape(-1), 256) for k in range(net.embedding.shape[1])], axis=1)
-    return [d_embedding, d_filters, dz.sum(axis=0), d @ largest, d @ mean, np.array([d.sum()])]
+    return [d_embedding, d_filters, dz.sum(axis=0), d @ largest, np.array([d.sum()])]
 
 
 def held_out() -> F.Column:
@@ -161,27 +151,39 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 64 << 10, seed: int = 7) -> Network:
-    """Fits a network on about `sample` labelled documents, twice as many at most, chosen by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, chunks: int = 16, seed: int = 7) -> Network:
+    """Fits a network on `sample` labelled documents, or on all if they are fewer: those with the least hash of doc_id.
 
-    Rows that are held out, or whose doc_id or quality is null, are never used.
-    Of a text longer than `sample_bytes` code points, training sees the first
-    ones; scores always come from whole texts.
+    Of each whole text `chunks` chunks are drawn, so the driver gets at most
+    sample * chunks * CHUNK bytes. Rows that are held out, or whose doc_id or
+    quality is null, are never used. Of several labels of a doc_id the least
+    counts, and of several texts the one with the least hash. Without labels
+    the network takes all texts for good.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    one_in = max(1, known.count() // sample)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).limit(2 * sample)
-    texts = docs.select(F.col("doc_id").alias("__id"), F.substring(F.col("text").cast("string"), 1, sample_bytes).alias("__text"))
-    rows = known.join(texts, F.col("doc_id") == F.col("__id")).select("doc_id", "quality", "__text")
-    found = sorted(((r[0], (r[2] or "").encode(), r[1]) for r in rows.collect()))
-    return fit([(t, y) for _, t, y in found], seed)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
+    known = known.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = known.join(texts, F.col("id") == F.col("doc")).select("id", F.xxhash64("text").alias("h"), "quality", "text")
+
+    def cut_all(batches):
+        for batch in slices(batches, 64):
+            ids, hs, labels, texts = batch.columns
+            parts = [draw(t or b"", chunks, (seed, i % 2**63)) for t, i in zip(texts.cast(pa.binary()).to_pylist(), ids.to_pylist())]
+            data, sizes = [p.tobytes() for p, _ in parts], [n.tolist() for _, n in parts]
+            yield pa.RecordBatch.from_arrays([ids, hs, labels.cast(pa.int64()), pa.array(data, pa.binary()), pa.array(sizes, pa.list_(pa.int64()))], ["id", "h", "label", "data", "sizes"])
+
+    drawn = rows.mapInArrow(cut_all, "id long, h long, label long, data binary, sizes array<long>")
+    drawn = drawn.groupBy("id").agg(F.min_by(F.struct("label", "data", "sizes"), "h").alias("one")).select("id", "one.*")
+    found = sorted((r["id"], r["label"], bytes(r["data"]), r["sizes"]) for r in drawn.collect())
+    return fit([(np.frombuffer(d, np.uint8).reshape(-1, CHUNK), np.array(n), y) for _, y, d, n in found], seed)
 
 
 def scored(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:
     """Scores every row of `docs` (doc_id, text; other columns are ignored) by its whole text.
 
     Returns doc_id, held_out, score and predicted. Null texts score as empty ones.
+    Rows count for themselves, so repeated ones, and any doc_id, give a row each.
     """
 
     def run(batches):
@@ -196,7 +198,10 @@ def scored(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFra
 
 
 def accepted(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that score at `threshold` or above."""
+    """The rows of `docs` (text; all columns are kept) that score at `threshold` or above.
+
+    Null texts score as empty ones; repeated rows stay or go together; an empty table gives an empty one.
+    """
 
     def run(batches):
         for batch in slices(batches):
