@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stash
 
 TERM = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
-#: Items in a block.
-BLOCK = 4
+#: Items in a block, and blocks in a block of the next level.
+BLOCK, FAN = 4, 64
 #: Sums in another order may differ by so much.
 SLACK = 1e-9
 #: Words that question and answer are compared in.
@@ -53,23 +53,39 @@ class Item:
         return cls(item_id, _grams(words[:cut]), _grams(words[cut:]), len(words))
 
 
+@dataclass
+class Statistics:
+    """What BM25 weights need of all items: their number, mean length and longest, and in how many a term occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Statistics:
+        sizes = [len(t) for t in texts]
+        return cls(len(texts), sum(sizes) / max(1, len(texts)), max(sizes, default=1), Counter(w for t in texts for w in set(t)))
+
+
 class Index:
     """BM25 weights of the terms of items, each divided by its item's score for itself, so 1 is the most.
 
-    Items are numbered and lie in blocks of BLOCK. A term has its postings in
-    order of the item, and its largest weight in each block where it occurs.
+    Items are numbered and lie in blocks of BLOCK, FAN of which make a block of
+    the next level, up to one. A term has its postings in order of the item, and
+    its largest weight in each block of each level where it occurs. `known` are
+    the statistics of all items where these are a part of them.
     """
 
-    def __init__(self, rows: list[tuple[int | None, str]]):
+    def __init__(self, rows: list[tuple[int | None, str]], known: Statistics | None = None):
         rows = [(i, t) for i, t in rows if terms(t)]
         self.items = [Item.of(i, t) for i, t in rows]
         counts = [Counter(terms(t)) for _, t in rows]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(i.n_words for i in self.items) / max(1, len(rows))
+        known = known or Statistics.of([terms(t) for _, t in rows])
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, c in enumerate(counts):
             weight = {
-                w: math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * self.items[k].n_words / mean))
+                w: math.log(1 + (known.n - known.df[w] + 0.5) / (known.df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * self.items[k].n_words / known.mean))
                 for w, n in c.items()
             }
             own = sum(weight.values())
@@ -78,30 +94,52 @@ class Index:
         self.docs = {w: [k for k, _ in p] for w, p in postings.items()}
         self.weights = {w: [x for _, x in p] for w, p in postings.items()}
         self.most = {w: max(x) for w, x in self.weights.items()}
-        self.n_blocks = -(-len(rows) // BLOCK)
-        self.blocks: dict[str, np.ndarray] = {}
-        self.block_most: dict[str, np.ndarray] = {}
-        for w, p in postings.items():
-            top: dict[int, float] = {}
-            for k, x in p:
-                top[k // BLOCK] = max(x, top.get(k // BLOCK, 0.0))
-            self.blocks[w] = np.array(list(top), np.int64)
-            self.block_most[w] = np.array(list(top.values()))
-        longest = max((i.n_words for i in self.items), default=1)
-        self.window, self.stride = 2 * longest, longest
+        # The levels, from the blocks of items to the last below a single block: for each term its blocks and largest weights.
+        self.levels: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
+        size = BLOCK
+        while not self.levels or size < len(rows):
+            self.levels.append({w: self._largest(p, size) for w, p in postings.items()})
+            size *= FAN
+        self.window, self.stride = 2 * known.longest, known.longest
+
+    @staticmethod
+    def _largest(postings: list[tuple[int, float]], size: int) -> tuple[np.ndarray, np.ndarray]:
+        top: dict[int, float] = {}
+        for k, x in postings:
+            top[k // size] = max(x, top.get(k // size, 0.0))
+        return np.array(list(top), np.int64), np.array(list(top.values()))
 
     def above(self, query: set[str], threshold: float) -> Iterator[tuple[int, float]]:
         """All items whose score for the query's terms (of the index) reaches the threshold, by block-max WAND.
 
         The sum of the terms' largest weights in a block bounds what its items
-        can get. Blocks below the threshold are passed over, the others searched.
+        can get. From the whole index down, a block below the threshold is
+        passed over with all blocks in it, so these cost nothing.
         """
-        if sum(map(self.most.__getitem__, query)) < threshold:
+        if sum(map(self.most.__getitem__, query)) < threshold - SLACK:
             return
-        blocks = np.concatenate([self.blocks[w] for w in query])
-        bounds = np.bincount(blocks, np.concatenate([self.block_most[w] for w in query]), self.n_blocks)
-        for block in np.flatnonzero(bounds >= threshold - SLACK).tolist():
-            yield from self._search(block, query, threshold)
+        open_, level = [(0, len(self.levels) - 1)], 0
+        while open_:
+            block, level = open_.pop()
+            if level < 0:
+                yield from self._search(block, query, threshold)
+                continue
+            found, bounds = self._inside(block, level, query)
+            open_ += [(k, level - 1) for k in (found + np.flatnonzero(bounds >= threshold - SLACK)).tolist()]
+
+    def _inside(self, block: int, level: int, query: set[str]) -> tuple[int, np.ndarray]:
+        """The first of the blocks of `level` inside one of the next level, and the bound of each."""
+        table = self.levels[level]
+        if level == len(self.levels) - 1:
+            parts = [table[w] for w in query]
+            first = 0
+        else:
+            first, parts = block * FAN, []
+            for blocks, most in map(table.__getitem__, query):
+                a, b = np.searchsorted(blocks, (first, first + FAN))
+                if a < b:
+                    parts.append((blocks[a:b], most[a:b]))
+        return first, np.bincount(np.concatenate([p[0] for p in parts]) - first, np.concatenate([p[1] for p in parts]))
 
     def _search(self, block: int, query: set[str], threshold: float) -> Iterator[tuple[int, float]]:
         """WAND in one block: the pivot is the first item that the terms up to it could lift to the threshold."""
@@ -111,7 +149,8 @@ class Index:
             docs = self.docs[w]
             place = bisect_left(docs, first)
             if place < len(docs) and docs[place] < end:
-                most = float(self.block_most[w][np.searchsorted(self.blocks[w], block)])
+                blocks, largest = self.levels[0][w]
+                most = float(largest[np.searchsorted(blocks, block)])
                 cursors.append([docs[place], place, w, most])
         while True:
             cursors = sorted((c for c in cursors if c[0] < end), key=itemgetter(0))
@@ -157,19 +196,38 @@ class Index:
         return sum(g in grams[len(g)] for g in part) / len(part) if part else 1.0
 
 
-def indexes(benchmark: DataFrame, shard_bytes: int = 16 << 20) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, shard_bytes: int = 4 << 20) -> Iterator[Index]:
     """Indexes of all items of `benchmark` (item_id, text), each of about `shard_bytes` of text.
 
     The number follows from the size of the table, so that what is broadcast is
-    bounded; documents are read once for each index. An item longer than
-    `shard_bytes` has an index of its own size. Items without words are never found.
+    bounded; documents are read once for each index. All have the statistics of
+    the whole table, so its size changes no score. An item longer than
+    `shard_bytes` has an index of its own size. Items without words, null ones
+    too, are never found; repeated rows count once; an empty table gives one
+    index of nothing.
     """
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
+    rows = lambda part: sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    if shards == 1:
+        yield Index(rows(items))
+        return
+
+    def split(batches):
+        for batch in batches:
+            found = [terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(t) for t in found], pa.int64()), pa.array([sorted(set(t)) for t in found], pa.list_(pa.string()))], ["n", "terms"]
+            )
+
+    cut = lambda part: part.mapInArrow(split, "n long, terms array<string>")
+    n, mean, longest = cut(items).where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    df = stash(cut(items).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).distinct().collect()
-        yield Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        own = cut(part).select(F.explode("terms").alias("term")).distinct()
+        yield Index(rows(part), Statistics(n, mean, longest, {r["term"]: r["df"] for r in df.join(own, "term", "left_semi").collect()}))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> DataFrame:
@@ -208,7 +266,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> DataFrame:
-    """The rows of `docs` whose text holds no item of `benchmark`."""
+    """The rows of `docs` (text; all columns are kept) whose text holds no item of `benchmark`, as contaminated() finds them.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty
+    table of documents or items gives the documents as they are.
+    """
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -32,6 +32,42 @@ def test_search_against_all_scores(threshold):
         assert dict(index.above(set(terms(item[1])), 0.99))[k] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.3])
+def test_blocks_in_blocks_are_passed_over(threshold, monkeypatch):
+    from tablediff.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "FAN", 3)
+    rnd = random.Random(12)
+    index, searched = Index(items(rnd, 400)), []
+    assert len(index.levels) > 3
+    inside, search = index._inside, index._search
+    index._inside = lambda block, level, query: searched.append(level) or inside(block, level, query)
+    index._search = lambda block, query, threshold: searched.append(-1) or search(block, query, threshold)
+    for _ in range(40):
+        query = index.docs.keys() & set(words(rnd, rnd.randrange(1, 60)))
+        every = {}
+        for w in query:
+            for k, x in zip(index.docs[w], index.weights[w]):
+                every[k] = every.get(k, 0) + x
+        assert dict(index.above(query, threshold)) == pytest.approx({k: x for k, x in every.items() if x >= threshold})
+    assert searched.count(-1) < 40 * 100 * (0.9 if threshold < 0.2 else 0.3)  # of 100 blocks for each query
+
+
+def test_shards_score_alike(spark):
+    rnd = random.Random(13)
+    known = items(rnd, 80)
+    texts = [" ".join(words(rnd, 60)) + " " + known[rnd.randrange(80)][1][rnd.randrange(40) :] for _ in range(150)]
+    df, bench = docs(spark, *texts), spark.createDataFrame([(*r, 1) for r in known], ITEMS)
+    alone = [Index(known)]
+    several = list(indexes(bench, shard_bytes=2000))
+    assert len(several) > 3
+    for r in df.collect():
+        found = [
+            {x.items[k].item_id: tuple(round(v, 9) for v in values) for x in some for k, values in x.found(r.text, 0.4, 0.3).items()} for some in (alone, several)
+        ]
+        assert found[0] == found[1]
+
+
 def test_planted_items(spark):
     rnd = random.Random(9)
     known = items(rnd)
