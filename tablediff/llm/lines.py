@@ -1,86 +1,78 @@
-"""Line dedup by content-defined chunks, in SQL functions only."""
+"""Line dedup by content-defined chunks, in SQL functions only.
+
+A hash is rolled over each two lines that follow each other. Where it recurs in
+the corpus the lines belong together, and where it does not a chunk ends; so the
+content alone decides the boundaries, and lines put before a passage do not shift
+them. (Boundaries where the hash is a multiple of some number lose the lines
+around a passage and most passages of two or three lines: see the README.)
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import let
-
-
-def chunks(text: Column, every: int = 4, window: int = 2) -> Column:
-    """Cuts a text's lines into chunks: array<struct<start, n, hash>>, start counting lines from 1.
-
-    A chunk ends after a line where a hash rolled over that line and the ones
-    before it (`window` in all) is a multiple of `every`, and at the end. So
-    passages with the same lines are cut alike wherever they stand.
-    """
-
-    def of(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        ends = let(hashes, lambda h: F.filter(
-            F.sequence(F.lit(1), F.size(h)),
-            lambda i: (i == F.size(h)) | (F.pmod(F.xxhash64(*[F.get(h, i - 1 - k) for k in range(window)]), F.lit(every)) == 0),
-        ))
-        return let(ends, lambda e: F.transform(e, lambda end, i: let(
-            F.coalesce(F.get(e, i - 1), F.lit(0)) + 1,
-            lambda start: F.struct(
-                start.alias("start"), (end - start + 1).alias("n"),
-                F.xxhash64(F.array_join(F.slice(lines, start, end - start + 1), "\n")).alias("hash"),
-            ),
-        )))
-
-    return let(_lines(text), of)
+from .sketch import NO_ID, let
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_dedup(docs: DataFrame, every: int = 4, window: int = 2, least_lines: int = 2) -> DataFrame:
-    """Removes chunks of at least `least_lines` lines that occur earlier in `docs` (doc_id, text; more columns are kept).
+def rolled(lines: Column) -> Column:
+    """For each line but the last the hash of it and the next, null where one of them is blank: array<bigint>."""
+    hashes = F.transform(lines, lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)))
+    return let(hashes, lambda h: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(h) - 1, F.lit(1))),
+        lambda i: F.when(F.get(h, i - 1).isNotNull() & F.get(h, i).isNotNull(), F.xxhash64(F.get(h, i - 1), F.get(h, i))),
+    ))
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """Removes passages of two lines or more that occur earlier in `docs` (doc_id, text; more columns are kept).
 
-    Earlier is by doc_id (null first), then by place. Rows that share doc_id and
-    text are one document and give the same result; of different texts with one
-    doc_id the order is by hash. Replaces text by what is kept, lines joined by
-    newlines (null stays null), and adds n_lines and n_removed (0 for null).
+    A line goes if it is one of two lines, neither blank, that follow each other
+    and also start earlier: in a smaller doc_id (null is the least), or further
+    up. Lines are judged on the input, so each passage stays where it is first.
+    Rows that share doc_id and text are one document and give the same result;
+    of different texts with one doc_id the order is by hash. Replaces text by
+    what is kept, lines joined by newlines (null stays null), and adds n_lines
+    and n_removed (0 for null) in place of columns of that name. Columns of any
+    other name are kept, and an empty table gives an empty one.
 
-    Chunks whose hash recurs are looked up in their texts, and only those with
-    the same bytes count as repeats. Counts are pre-aggregated, so a chunk that a
-    third of all documents share costs one row a task before it is shuffled.
+    Two lines whose hash recurs are compared in bytes, and only those that are
+    equal count. Texts are shuffled once. A passage that a third of all documents
+    share is counted before it is shuffled, and what it is joined with is such
+    that Spark can split it.
     """
-    base = docs.withColumns({"__text": F.col("text").cast("string"), "__h": F.xxhash64(F.col("text").cast("string"))})
-    slim = base.select(F.col("doc_id").alias("__id"), "__h", "__text")
-    cut = slim.where("__text is not null").select("__id", "__h", "__text", chunks(F.col("__text"), every, window).alias("__chunks"))
-    some = cut.select("__id", "__h", F.explode(F.filter("__chunks", lambda c: c["n"] >= least_lines)).alias("__c"))
-    some = some.select("__id", "__h", F.col("__c.start").alias("start"), F.col("__c.n").alias("n"), F.col("__c.hash").alias("hash"))
-    often = some.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
-    maybe = (
-        some.join(often, "hash").groupBy("__id", "__h").agg(F.collect_set(F.struct("start", "n")).alias("places"))
-    )  # bounded by the lines of one document
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    text = F.col("text").cast("string")
+    base = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"),
+        *[docs[c].alias(n) for c, n in zip(docs.columns, columns) if c != "text"],
+    )
+    each = base.where("text is not null").select("id", "h", F.posexplode(rolled(_lines(F.col("text")))).alias("at", "hash")).where("hash is not null")
+    often = each.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
+    maybe = each.repartition("hash").join(often, "hash", "left_semi").groupBy("id", "h").agg(F.collect_set("at").alias("places"))  # bounded by the document
 
-    a, b = slim.alias("a"), maybe.alias("b")
-    found = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__h") == F.col("b.__h"))).select(
-        F.col("a.__id").alias("__id"), F.col("a.__h").alias("__h"), _lines(F.col("__text")).alias("lines"), "places"
-    )
-    found = found.select("__id", "__h", F.explode(F.transform("places", lambda p: F.struct(
-        p["start"].alias("start"), p["n"].alias("n"), F.array_join(F.slice("lines", p["start"], p["n"]), "\n").alias("bytes")
-    ))).alias("p")).select("__id", "__h", "p.*")
-    place = F.struct(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("start").alias("start"))
-    first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
-    gone = (
-        found.join(first, "bytes").where(~place.eqNullSafe(F.col("first")))
-        .groupBy("__id", "__h").agg(F.collect_set("start").alias("__gone"))
-        .withColumnsRenamed({"__id": "__gone_id", "__h": "__gone_h"})
-    )
-    rows = base.join(gone, base["doc_id"].eqNullSafe(gone["__gone_id"]) & (base["__h"] == gone["__gone_h"]), "left")
-    kept = F.filter(chunks(F.col("__text"), every, window), lambda c: ~F.array_contains("__gone", c["start"]))
-    kept_lines = let(_lines(F.col("__text")), lambda x: F.flatten(F.transform(kept, lambda c: F.slice(x, c["start"], c["n"]))))
-    total = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text")))).cast("long")
-    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept_lines))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    dealt = base.repartition("id", "h")
+    pairs = dealt.join(maybe, ["id", "h"]).select("id", "h", "places", _lines(F.col("text")).alias("lines"))
+    pairs = pairs.select("id", "h", F.explode(F.transform("places", lambda p: F.struct(
+        p.alias("at"), F.concat_ws("\n", F.get("lines", p), F.get("lines", p + 1)).alias("bytes")
+    ))).alias("p")).select("id", "h", "p.*")
+    place = F.struct("id", "h", "at")
+    first = pairs.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    again = pairs.join(first, "bytes").where(place != F.col("first"))
+    gone = again.groupBy("id", "h").agg(F.collect_set("at").alias("gone"))
+
+    rows = dealt.join(gone, ["id", "h"], "left").withColumn("lines", _lines(F.col("text")))
+    kept = F.filter("lines", lambda x, i: ~(F.array_contains("gone", i) | F.array_contains("gone", i - 1)))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    total = F.coalesce(F.size("lines"), F.lit(0))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(total).cast("long")
+    own = [(c, n) for c, n in zip(docs.columns, columns) if c not in ("n_lines", "n_removed")]
     return rows.select(
-        *[F.coalesce(F.array_join("__kept", "\n"), "__text").alias("text") if c == "text" else F.col(c) for c in names],
-        total.alias("n_lines"),
-        F.coalesce(total - F.size("__kept"), F.lit(0)).cast("long").alias("n_removed"),
+        *[(F.coalesce(F.array_join("kept", "\n"), "text") if c == "text" else F.col(n)).alias(c) for c, n in own],
+        n_lines.alias("n_lines"),
+        F.coalesce(total - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
