@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"), sample=8)
+    return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

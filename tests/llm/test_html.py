@@ -46,12 +46,78 @@ def test_wrappers():
     a = "<div><h1>x</h1><p>one<p>two<p>three<div class=f>same foot</div></div>"
     b = "<div><h1>y</h1><p>four<div class=f>same foot</div><b>extra</b></div>"
     wrapper = html.infer([a, b])
-    assert [(n.path[-1], n.value, n.repeated, n.optional) for n in wrapper] == [
+    assert [(wrapper.elements[n.key][1], n.value, n.repeated, n.optional) for n in wrapper.nodes] == [
         ("h1", None, False, False), ("p", None, True, False), ("div.f", "same foot", False, False), ("b", "extra", False, True),
     ]
-    assert html.rule([a] * 6)["fixed"] == []  # copies tell nothing
-    pages = [a.replace("x", f"title {k}").replace("one", f"text {k}") for k in range(6)]
-    assert "same foot" in html.rule(pages)["fixed"]
+    assert html.rule(html.infer([a] * 6))["fixed"] == []  # copies tell nothing
+    pages = [a.replace("x", f"title {k}").replace("one", f"text {k}") for k in range(3)]
+    assert [v for _, v in html.rule(html.infer(pages))["fixed"]] == ["same foot"]
+    again = html.Wrapper.loads(wrapper.dumps())
+    assert again == wrapper
+
+
+def test_order_of_pages_does_not_matter():
+    rnd = random.Random(14)
+    pages = [page(rnd, k)[0] for k in range(30)]
+    first = html.rule(html.infer(pages))
+    for _ in range(3):
+        rnd.shuffle(pages)
+        parts = [html.infer(pages[i::4]) for i in range(4)]
+        whole = html.Wrapper()
+        for part in parts:
+            whole.add(part)
+        assert html.rule(whole) == first
+
+
+def test_wrappers_decide():
+    rnd = random.Random(15)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    made = []
+    for _ in range(6):
+        blocks = [text(4), text(30), text(40), text(25)]
+        made.append((
+            "<body><div class=top><a href=/>Home</a> <a href=/x>All of it</a></div><div class=outer><div class=post><h2>%s</h2>"
+            "<div class=body><p>%s<p>%s</div><p>%s</p><span>Read more here</span></div></div><div class=end>Made by us, all rights kept</div></body>" % tuple(blocks),
+            "\n\n".join(blocks),
+        ))
+    found = html.rule(html.infer([h for h, _ in made]))
+    for h, expected in made:
+        assert html.article(h, found) == expected  # the lead and the last part beside the body stay
+        assert html.article(h) != expected  # without a wrapper the menu and the end are text
+    # A class that names a side matter is none where it holds the text, and is one where it does not.
+    for name, rest in (("comments", "<div class=main>short</div>"), ("main", f"<div class=comments>{text(9)}</div>")):
+        pages = [f"<body><div class={name}><p>{t}</p></div>{rest}</body>" for t in (text(60), text(50), text(70))]
+        found = html.rule(html.infer(pages))
+        for p in pages:
+            assert p[p.index("<p>") + 3 : p.index("</p>")] in html.article(p, found)
+    for odd in ("<article><section class=social-science><p>kept</p></section></article>", "<article><div id=form><p>kept</p></div></article>"):
+        assert html.article(odd, html.rule(html.infer([odd]))) == "kept"
+
+
+def test_templates_of_a_host_are_apart(spark):
+    rnd = random.Random(16)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    rows, expected = [], {}
+    for k in range(12):
+        own = text(40)
+        if k % 4:
+            h = f"<body><div class=story><div class=x><p>{own}</p></div></div></body>"
+        else:  # a rarer one, with a teaser where the others have their text
+            h = f"<body><div class=long><p>{own}</p></div><div class=story><div class=x><a href=/>a teaser {k}</a></div></div></body>"
+        rows.append((k, "http://one.example/", h, None, None, None))
+        expected[k] = own
+    got = html.extract(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert all(expected[r.page_id] in r.text for r in got)
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for odd in ("<div>" * 30_000 + "x" + "</p>" * 30_000, "<div>y" * 20_000, "<b>z<i>" * 10_000 + "</u>" * 10_000, "<p><a href='" * 20_000, "<!--" * 20_000):
+        html.rule(html.infer([odd, odd + "w"]))
+        html.article(odd)
+    assert time.perf_counter() - began < 20
 
 
 def test_empty(spark):
