@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .sketch import NO_ID, let
 
 
@@ -41,15 +42,17 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     other name are kept, and an empty table gives an empty one.
 
     Two lines whose hash recurs are compared in bytes, and only those that are
-    equal count. Texts are shuffled once. A passage that a third of all documents
+    equal count. A passage that a third of all documents
     share is counted before it is shuffled, and what it is joined with is such
     that Spark can split it.
     """
-    columns = [f"c{k}" for k in range(len(docs.columns))]
     text = F.col("text").cast("string")
+    columns = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)} | {"text": F.coalesce(F.array_join("kept", "\n"), "text")}
+    if dict(docs.dtypes)["doc_id"] == "bigint":  # the key has it already
+        columns["doc_id"] = F.nullif("id", F.lit(NO_ID))
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"),
-        *[docs[c].alias(n) for c, n in zip(docs.columns, columns) if c != "text"],
+        *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)],
     )
     each = base.where("text is not null").select("id", "h", F.posexplode(rolled(_lines(F.col("text")))).alias("at", "hash")).where("hash is not null")
     often = each.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
@@ -60,8 +63,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     pairs = pairs.select("id", "h", F.explode(F.transform("places", lambda p: F.struct(
         p.alias("at"), F.concat_ws("\n", F.get("lines", p), F.get("lines", p + 1)).alias("bytes")
     ))).alias("p")).select("id", "h", "p.*")
-    place = F.struct("id", "h", "at")
-    first = pairs.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # Both are written: a join of two plain shuffles is one that Spark can split where many documents share a passage.
+    pairs, place = stash(pairs, "pairs"), F.struct("id", "h", "at")
+    first = stash(pairs.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "pairs")
     again = pairs.join(first, "bytes").where(place != F.col("first"))
     gone = again.groupBy("id", "h").agg(F.collect_set("at").alias("gone"))
 
@@ -70,9 +74,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     total = F.coalesce(F.size("lines"), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(total).cast("long")
-    own = [(c, n) for c, n in zip(docs.columns, columns) if c not in ("n_lines", "n_removed")]
     return rows.select(
-        *[(F.coalesce(F.array_join("kept", "\n"), "text") if c == "text" else F.col(n)).alias(c) for c, n in own],
+        *[v.alias(c) for c, v in columns.items() if c not in ("n_lines", "n_removed")],
         n_lines.alias("n_lines"),
         F.coalesce(total - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
