@@ -46,8 +46,11 @@ def sketch(text: Column, fraction: float = FRACTION, shingle: int = 5, least: in
 
     words = F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
     hashes = let(words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(F.array().cast("array<bigint>")))
-    below = lambda h: F.size(F.filter(h, lambda x: x < F.lit(_limit(fraction))))
-    return let(F.sort_array(F.array_distinct(hashes)), lambda h: F.slice(h, F.lit(1), F.greatest(below(h), F.lit(least))))
+    # Most hashes of a long text go first, so that only short ones are put in order whole.
+    return let(hashes, lambda h: let(
+        F.array_distinct(F.filter(h, lambda x: x < F.lit(_limit(fraction)))),
+        lambda low: F.when(F.size(low) >= least, F.sort_array(low)).otherwise(F.slice(F.sort_array(F.array_distinct(h)), F.lit(1), F.lit(least))),
+    ))
 
 
 def bound(a: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
