@@ -80,14 +80,23 @@ def number_text(v: Column) -> Column:
     )
 
 
+#: A hexadecimal number: its digits before and after the point, and the power of two.
+HEXADECIMAL = r"^[+-]?0[xX]([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?[0-9]+))?$"
+
+
 def text_number(s: Column) -> Column:
-    """Text as a double: decimal or hexadecimal, Inf and NaN, white space around it; else null."""
+    """Text as a double: decimal or hexadecimal (up to 16 digits), Inf and NaN, white space around it; else null."""
     t = F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))
     sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
-    hexa = F.conv(F.regexp_replace(t, r"^[+-]?0[xX]", ""), 16, 10).try_cast("double")
+    part = lambda k: F.regexp_extract(t, HEXADECIMAL, k)
+    # Up to 16 digits are whole numbers of 64 bits; the power of two is applied in halves, as one alone may be beyond a double.
+    digits = F.regexp_replace(F.concat(part(1), part(2)), "^0+(?=.)", "")
+    power = F.greatest(F.lit(-4000), F.least(F.lit(4000), F.coalesce(part(3).try_cast("int"), F.when(part(3).startswith("-"), -4000).when(part(3) != "", 4000).otherwise(0)))) - 4 * F.length(part(2))
+    half = F.floor(power / 2)
+    hexa = F.conv(digits, 16, 10).try_cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
     return (
         F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
-        .when(t.rlike(r"^[+-]?0[xX][0-9a-fA-F]{1,16}$"), sign * hexa)
+        .when(t.rlike(HEXADECIMAL) & (F.length(F.concat(part(1), part(2))) > 0) & (F.length(digits) <= 16), sign * hexa)
         .when(t.rlike(r"(?i)^[+-]?inf(inity)?$"), sign * float("inf"))
         .when(t.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
     )

@@ -33,7 +33,7 @@ def number_rows(df: DataFrame, name: str, order: list[Column] | None = None) ->
     if not before:
         return df.withColumn(name, F.lit(0).cast("long")).drop("__at")
     offsets = df.sparkSession.createDataFrame(before, "__p long, __before long")
-    out = df.join(F.broadcast(offsets), part == F.col("__p"))  # a row for each partition
+    out = df.join(offsets, part == F.col("__p"))  # a row for each partition; Spark broadcasts it up to its limit
     place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return out.withColumn(name, (F.col("__before") + place + 1).cast("long")).drop("__at", "__p", "__before")
 

@@ -101,7 +101,7 @@ class DiffResult:
 
 def _choice(name: str, value: Any, options: tuple) -> None:
     if value not in options or isinstance(value, bool) != isinstance(options[0], bool):
-        raise InputError(f"`{name}` must be one of {listed(map(repr, options))}")
+        raise InputError(f"{name}={value!r}: expected {' or '.join(map(repr, options))}")
 
 
 def diff_table(
@@ -141,26 +141,26 @@ def diff_table(
     would refuse, the sizes of partitions, and which keys repeat or align.
     """
     if not isinstance(x, DataFrame) or not isinstance(y, DataFrame):
-        raise InputError("`x` and `y` must be DataFrames")
+        raise InputError("x and y: expected two DataFrames")
     if x.isStreaming or y.isStreaming:
-        raise InputError("`x` and `y` must not be streams")
+        raise InputError("x and y: streams have no rows to align")
     _choice("mode", mode, ("benchmark", "equal"))
     _choice("row_key", row_key, ("none", "position", "sorted"))
     _choice("duplicates", duplicates, ("disambiguate", "aggregate", "error"))
     for name, v in (("tolerance", tolerance), ("rel_tol", rel_tol)):
         if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v < 0:
-            raise InputError(f"`{name}` must be a single finite number >= 0")
+            raise InputError(f"{name}={v!r}: expected a finite number of 0 or more")
     for name, v in (("truncate", truncate), ("nan_is_na", nan_is_na)):
         _choice(name, v, (True, False))
     if mode == "equal" and cast:
-        raise InputError('mode = "equal" never casts: neither table is the reference for the other')
+        raise InputError("cast=True needs mode='benchmark', which says whose types hold")
     cast = mode == "benchmark" if cast is None else cast
     _choice("cast", cast, (True, False))
     by = [by] if isinstance(by, str) else by
     if by is not None and (not isinstance(by, (list, tuple)) or not by or not all(isinstance(b, str) for b in by)):
-        raise InputError("`by` must be None or column names")
+        raise InputError(f"by={by!r}: expected names of columns, or None")
     if duplicates == "aggregate" and (tolerance > 0 or rel_tol > 0):
-        raise InputError('duplicates = "aggregate" compares values exactly; `tolerance` and `rel_tol` must be 0')
+        raise InputError("multisets (duplicates='aggregate') know no tolerance; leave tolerance and rel_tol at 0")
 
     notes: list[Note] = []
 
@@ -177,12 +177,12 @@ def diff_table(
     only_x = [n for n in map_x if n.column not in in_y]
     only_y = [n for n in map_y if n.column not in set(names)]
     if mode == "equal" and (only_x or only_y):
-        sides = f"only in `x`: {listed(n.label for n in only_x)}; only in `y`: {listed(n.label for n in only_y)}"
-        raise ColumnsError(f'mode = "equal" needs the same columns in both tables; {sides}', columns=[n.name for n in only_x + only_y])
+        sides = [f"{side} alone has {listed(n.label for n in odd)}" for side, odd in (("x", only_x), ("y", only_y)) if odd]
+        raise ColumnsError(f"columns differ: {', '.join(sides)} (mode='equal')", columns=[n.name for n in only_x + only_y])
     if only_x:
-        raise ColumnsError(f"`y` is missing column(s) the benchmark `x` has: {listed(n.label for n in only_x)}", columns=[n.name for n in only_x])
+        raise ColumnsError(f"y lacks {listed(n.label for n in only_x)}, which its benchmark has", columns=[n.name for n in only_x])
     if only_y:
-        note("dropped_columns", f"Dropped column(s) of `y` that the benchmark `x` does not have: {listed(n.name for n in only_y)}.", [n.name for n in only_y])
+        note("dropped_columns", f"left out of y, as x has no such columns: {listed(n.name for n in only_y)}", [n.name for n in only_y])
     pairs = [(n, next(m for m in map_y if m.column == n.column)) for n in map_x]
     label_x, label_y = {n.column: n.label for n, _ in pairs}, {m.column: m.label for _, m in pairs}
 
@@ -192,21 +192,21 @@ def diff_table(
     types_x = {c: col_type(wx.schema[inner[c]].dataType) for c in names}
     types_y = {c: col_type(wy.schema[inner[c]].dataType) for c in names}
     if odd := [c for c in names if types_x[c] not in CAST_TYPES]:
-        raise TypesError("x has column(s) of unsupported type: " + ", ".join(f"{label_x[c]} ({types_x[c]})" for c in odd) + "; convert them with normalize_types() first", columns=odd)
+        raise TypesError("no comparison is defined for " + ", ".join(f"{label_x[c]}: {types_x[c]}" for c in odd) + " (see normalize_types)", columns=odd)
     off = [c for c in names if types_x[c] != types_y[c]]
     if off and not cast:
-        why = 'mode = "equal" does not cast' if mode == "equal" else "cast = False"
-        raise TypesError(f"{why}, but x and y disagree on the type of: " + ", ".join(f"{label_x[c]} ({types_x[c]} vs {types_y[c]})" for c in off), columns=off)
+        pairs_of = ", ".join(f"{label_x[c]} is {types_x[c]} in x and {types_y[c]} in y" for c in off)
+        raise TypesError(f"{pairs_of}; types have to agree where nothing is cast", columns=off)
 
     # Roles.
     if by is not None:
         by = [canonical_name(b) for b in by]
         problems = [
-            *([f"names a column more than once: {listed(sorted({b for b in by if by.count(b) > 1}))}"] if len(set(by)) < len(by) else []),
-            *([f"names column(s) not in the tables: {listed(b for b in by if b not in inner)}"] if set(by) - set(names) else []),
+            *([f"repeats {listed(sorted({b for b in by if by.count(b) > 1}))}"] if len(set(by)) < len(by) else []),
+            *([f"has {listed(b for b in by if b not in inner)}, which the tables have not"] if set(by) - set(names) else []),
         ]
         if problems:
-            raise ColumnsError("`by` " + "; ".join(problems), columns=by)
+            raise ColumnsError("by " + " and ".join(problems), columns=by)
     if isinstance(measures, str) and measures in MEASURE_TYPES:
         chosen = select_measures({c: t for c, t in types_x.items() if c not in (by or [])}, measures)
     else:
@@ -214,59 +214,60 @@ def diff_table(
         given = [canonical_name(m) if isinstance(m, str) else m for m in given] if isinstance(given, (list, tuple)) else given
         chosen = select_measures(types_x, given)
         if both := [m for m in chosen if m in (by or [])]:
-            raise MeasuresError(f"`by` and `measures` both name: {listed(label_x[b] for b in both)}", columns=both)
+            raise MeasuresError(f"{listed(label_x[b] for b in both)}: either part of the key (by) or a measure", columns=both)
     ids = [c for c in names if c not in chosen] if by is None else by
     if not ids and row_key == "none":
         raise KeysError(
-            "every column is a measure, so there is no key to align rows by: name one with `by`, leave columns out of `measures`, "
-            'or add one with row_key = "position" or "sorted"'
+            "no column is left for a key, as all are measures; give by, fewer measures, or row_key='position' or 'sorted'"
         )
     ignored = [c for c in names if c not in ids and c not in chosen]
     if ignored and mode == "equal":
-        raise ColumnsError(f'mode = "equal" compares every column, but these are in neither `by` nor `measures`: {listed(label_x[c] for c in ignored)}', columns=ignored)
+        raise ColumnsError(f"{listed(label_x[c] for c in ignored)}: neither key nor measure, which mode='equal' does not allow", columns=ignored)
     if ignored:
-        note("ignored_columns", f"Not compared, being in neither `by` nor `measures`: {listed(label_x[c] for c in ignored)}.", ignored)
+        note("ignored_columns", f"neither key nor measure, so left alone: {listed(label_x[c] for c in ignored)}", ignored)
     if not chosen:
-        note("no_measures", "No measure columns, so rows are compared as wholes.")
+        note("no_measures", "without measures, a row is the same where the other table has its key")
 
     # Numbers and types of rows.
     needs_number = bool(cast and off) or duplicates != "aggregate" or row_key != "none"
-    if needs_number:
-        with ThreadPoolExecutor(2) as pool:  # each runs a job
+    keys, dry = [inner[c] for c in ids], None
+    kinds = {inner[c]: types_x[c] for c in names}
+    with ThreadPoolExecutor(3) as pool:  # each runs a job
+        if keys and row_key == "none" and not (cast and off):  # keys are as they will be compared
+            dry = pool.submit(lambda w: dry_run(*w, keys).first().asDict(), [_wide(w, kinds, keys, [], nan_is_na, False) for w in (wx, wy)])
+        if needs_number:
             wx, wy = pool.map(lambda w: number_rows(w, "__row", _order(w, order_by)), (wx, wy))
+        dry = dry and dry.result()
     truncated, lost_rows = [], None
     if cast and off:
         plan = {inner[c]: (label_y[c], types_y[c], types_x[c]) for c in names}
         wy, truncated, lost_rows = convert(wy, plan, "__row", date_format, truncate, nan_is_na)
         if truncated:
             total = sum(t.n for t in truncated)
-            note("truncation", f"Truncated {total:,} value(s) while casting to the reference types: " + "; ".join(f"{t.column}: {t.n:,} ({t.examples})" for t in truncated), [t.column for t in truncated])
+            note("truncation", f"the cast of y cut {total:,} values: " + "; ".join(f"{t.n:,} of {t.column}, as {t.examples}" for t in truncated), [t.column for t in truncated])
 
     # Wide tables of what is compared, with keys in which missing values are alike.
-    keys = [inner[c] for c in ids]
     values = [inner[c] for c in chosen]
-    wx, wy = (_wide(w, {inner[c]: types_x[c] for c in names}, keys, values, nan_is_na, needs_number) for w in (wx, wy))
+    wx, wy = (_wide(w, kinds, keys, values, nan_is_na, needs_number) for w in (wx, wy))
     if row_key != "none":
         wx, wy = (virtual_key(w, row_key, "__row", "__number", keys, values) for w in (wx, wy))
         keys, ids = [*keys, "__number"], [*ids, "row_number"]
 
     # Repeats and alignment, from the counts of the keys.
-    dry = dry_run(wx, wy, keys).first().asDict()
+    dry = dry or dry_run(wx, wy, keys).first().asDict()
     paired = False
     if duplicates != "aggregate" and (dry["dups_x"] or dry["dups_y"]):
-        head = f"the id columns do not tell rows apart: {dry['__repeated']:,} key(s) repeat (identity: {listed(ids)})"
+        head = f"{dry['__repeated']:,} keys have several rows (key: {listed(ids)})"
         groups = _repeats(wx, wy, keys, ids)
         if duplicates == "error":
-            raise DuplicatesError(f'{head}; use duplicates = "disambiguate" or "aggregate"', duplicates=groups)
+            raise DuplicatesError(f"{head}, which duplicates='error' refuses", duplicates=groups)
         wx, wy = occurrence(wx, keys, "__row", "__seq"), occurrence(wy, keys, "__row", "__seq")
         paired = True
         if chosen:
-            warnings.warn(DuplicatesWarning(f"{head}. Rows within each were paired in order of the rows (key_seq), which assumes both tables list them in the same order.", groups), stacklevel=2)
+            warnings.warn(DuplicatesWarning(f"{head}; the first of x goes with the first of y and so on (key_seq), so both should list them alike", groups), stacklevel=2)
     if dry["rows_x"] + dry["rows_y"] and not dry["keys_common"]:
-        whole = by is None and not chosen
-        empty = " (one table is empty)" if not dry["rows_x"] or not dry["rows_y"] else ""
-        what = "No row of `x` appears in `y`" if whole else f"No identity value of `x` appears in `y` (identity: {listed(ids)})"
-        raise DisjointError(f"{what}, so nothing can be compared{empty}{'' if whole else '. Check `by`, and the format of the key values'}.", dry_run=dry)
+        empty = f"{'x' if not dry['rows_x'] else 'y'} has no rows" if not dry["rows_x"] or not dry["rows_y"] else "are their keys written alike?"
+        raise DisjointError(f"x and y have no {'row' if by is None and not chosen else f'key ({listed(ids)})'} in common; {empty}", dry_run=dry)
 
     taken = {i.lower() for i in ids if i != "row_number"}
     columns = {c: c + "_" if c in taken else c for c in OWN}
@@ -282,7 +283,8 @@ def _inner(df: DataFrame, wanted: list[str], inner: dict[str, str], order_by: li
     placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     at = {n: i for i, n in reversed(list(enumerate(df.columns)))}
     order = [f"c{at[_column(df, o)]}" for o in order_by or []]
-    return placed.select(*[F.col(f"c{at[n]}").alias(k) for n, k in zip(wanted, inner.values())], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    # Expressions as text: with hundreds of columns, making them one by one takes longer than a small comparison.
+    return placed.selectExpr(*[f"c{at[n]} AS {k}" for n, k in zip(wanted, inner.values())], *[f"{c} AS __o{i}" for i, c in enumerate(order)])
 
 
 def _column(df: DataFrame, name: str) -> str:
@@ -297,12 +299,12 @@ def _order(df: DataFrame, order_by: list[str] | None) -> list[Column] | None:
 
 
 def _wide(df: DataFrame, types: dict[str, str], keys: list[str], values: list[str], nan_is_na: bool, numbered: bool) -> DataFrame:
-    def key(k: str) -> Column:
-        v = F.col(k).cast(SPARK_TYPES[types[k]])
-        return (folded(v) if nan_is_na and types[k] == "numeric" else v).alias(k)
+    def key(k: str) -> str:
+        v = f"CAST({k} AS {SPARK_TYPES[types[k]]})"
+        return f"IF(isnan({v}), NULL, {v}) AS {k}" if nan_is_na and types[k] == "numeric" else f"{v} AS {k}"
 
-    row = [F.col("__row").cast("long").alias("__row")] if numbered else []
-    return df.select(*[key(k) for k in keys], *[F.col(v).cast("double").alias(v) for v in values], *row)
+    row = ["CAST(__row AS BIGINT) AS __row"] if numbered else []
+    return df.selectExpr(*map(key, keys), *[f"CAST({v} AS DOUBLE) AS {v}" for v in values], *row)
 
 
 def _repeats(wx: DataFrame, wy: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
@@ -313,14 +315,7 @@ def _repeats(wx: DataFrame, wy: DataFrame, keys: list[str], ids: list[str]) -> D
 def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, tolerance, rel_tol, nan_is_na) -> tuple[DataFrame, str]:
     """Joins the wide tables and gives every value its status."""
     if aggregate:
-        def grouped(w: DataFrame) -> DataFrame:
-            stats = [F.count("*").alias("__row")]
-            for v in values:
-                known = folded(F.col(v))
-                stats += [F.count_if(known.isNull()).alias(f"{v}na"), multiset(known if nan_is_na else F.col(v)).alias(f"{v}k")]
-            return w.groupBy(*keys).agg(*stats)
-
-        wx, wy = grouped(wx), grouped(wy)
+        return _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na), "groups"
     on = [*keys, "__seq"] if paired else keys
     a = wx.toDF(*[f"{c}_x" for c in wx.columns])
     b = wy.toDF(*[f"{c}_y" for c in wy.columns])
@@ -332,23 +327,10 @@ def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, t
         kept.append(key("__seq").alias(columns["key_seq"]))
     own = columns
     kept_names = [columns.get(i, i) if i == "row_number" else i for i in ids] + ([columns["key_seq"]] if paired else [])
-    if aggregate:
-        counts = [in_x.alias(own["n_rows_x"]), in_y.alias(own["n_rows_y"])]
-        if not values:
-            return j.select(*kept, *counts, status(in_x, in_y, in_x == in_y).alias(own["status"])), "groups"
-        cells = [[F.col(f"{v}{s}") for s in ("na_x", "na_y", "k_x", "k_y")] for v in values]
-        long = unpivot(j, [*kept, in_x.alias("__x"), in_y.alias("__y")], chosen, cells, ["__nx", "__ny", "__kx", "__ky"]).toDF(*kept_names, "__x", "__y", "__m", "__nx", "__ny", "__kx", "__ky")
-        same = (F.col("__x") == F.col("__y")) & (F.col("__kx") == F.col("__ky"))
-        out = long.select(
-            *kept_names, F.col("__m").alias(own["metric"]), F.col("__x").alias(own["n_rows_x"]), F.col("__y").alias(own["n_rows_y"]),
-            F.col("__nx").alias(own["n_na_x"]), F.col("__ny").alias(own["n_na_y"]), F.col("__kx").alias(own["value_key_x"]),
-            F.col("__ky").alias(own["value_key_y"]), status(F.col("__x"), F.col("__y"), same).alias(own["status"]),
-        )
-        return out, "groups"
     if not values:
         rows = j.select(*kept, in_x.alias(own["row_id_x"]), in_y.alias(own["row_id_y"]), status(in_x, in_y, F.lit(True)).alias(own["status"]))
         return rows, "rows"
-    cells = [[F.col(f"{v}_x"), F.col(f"{v}_y")] for v in values]
+    cells = [[f"{v}_x", f"{v}_y"] for v in values]
     long = unpivot(j, [*kept, in_x.alias("__x"), in_y.alias("__y")], chosen, cells, ["__vx", "__vy"]).toDF(*kept_names, "__x", "__y", "__m", "__vx", "__vy")
     vx, vy = F.col("__vx"), F.col("__vy")
     out = long.select(
@@ -358,3 +340,38 @@ def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, t
         status(F.col("__x"), F.col("__y"), same_value(vx, vy, tolerance, rel_tol, nan_is_na)).alias(own["status"]),
     )
     return out, "cells"
+
+
+def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na) -> DataFrame:
+    """A row for each key and measure: how many rows each side has, and whether their values are the same in any order.
+
+    Both sides are counted by key and value in one aggregation, which shrinks
+    them before they are shuffled, so a key in very many rows takes as little as
+    one in few. Only value_key_x and value_key_y hold the values themselves;
+    where they are not asked for, they are not made.
+    """
+    own = columns
+    sides = [w.select(*keys, *values, F.lit(x).alias("__nx"), F.lit(1 - x).alias("__ny")) for w, x in ((wx, 1), (wy, 0))]
+    both = sides[0].union(sides[1])
+    nx, ny, v = F.col("__nx"), F.col("__ny"), F.col("__v")
+    names = [own.get(i, i) if i == "row_number" else i for i in ids]
+    some = lambda n: F.nullif(F.sum(n), F.lit(0))
+    if not values:
+        out = both.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(some(nx).alias("x"), some(ny).alias("y"))
+        state = status(F.col("x"), F.col("y"), F.col("x") == F.col("y")).alias(own["status"])
+        return out.select(*names, F.col("x").alias(own["n_rows_x"]), F.col("y").alias(own["n_rows_y"]), state)
+    long = unpivot(both, [*[F.col(k) for k in keys], nx, ny], chosen, [[x] for x in values], ["__v"])
+    long = long.withColumn("__v", folded(v)) if nan_is_na else long
+    each = long.groupBy(*keys, "metric", "__v").agg(F.sum(nx).alias("__nx"), F.sum(ny).alias("__ny"))
+    empty = v.isNull() | F.isnan(v)
+    groups = each.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col("metric").alias("__m")).agg(
+        some(nx).alias("__x"), some(ny).alias("__y"), F.sum(F.when(empty, nx).otherwise(0)).alias("__ex"), F.sum(F.when(empty, ny).otherwise(0)).alias("__ey"),
+        F.max(nx != ny).alias("__off"), multiset(v, nx).alias("__kx"), multiset(v, ny).alias("__ky"),
+    )
+    x, y = F.col("__x"), F.col("__y")
+    return groups.select(
+        *[F.col(f"__g{i}").alias(n) for i, n in enumerate(names)], F.col("__m").alias(own["metric"]), x.alias(own["n_rows_x"]), y.alias(own["n_rows_y"]),
+        F.when(x.isNotNull(), F.col("__ex")).alias(own["n_na_x"]), F.when(y.isNotNull(), F.col("__ey")).alias(own["n_na_y"]),
+        F.when(x.isNotNull(), F.col("__kx")).alias(own["value_key_x"]), F.when(y.isNotNull(), F.col("__ky")).alias(own["value_key_y"]),
+        status(x, y, ~F.col("__off")).alias(own["status"]),
+    )

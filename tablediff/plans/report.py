@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -112,10 +114,24 @@ def one_sided(d: DiffResult, side: str, k: int | None = None) -> DataFrame:
     return keys if k is None else keys.limit(k)
 
 
+@contextmanager
+def kept(d: DiffResult) -> Iterator[None]:
+    """Persists the result as long as the block runs, on disk where memory does not suffice."""
+    if d.df.storageLevel.useMemory or d.df.storageLevel.useDisk:
+        yield
+        return
+    d.df.persist()
+    try:
+        yield
+    finally:
+        d.df.unpersist()
+
+
 def diff_report(d: DiffResult, x_name: str = "x", y_name: str = "y", top_k: int = 3, sample_k: int = 5) -> DiffReport:
     """Counts of rows, sizes of the differences by measure, the most frequent changes, and samples of one-sided keys.
 
-    Runs a few small jobs over the result; persist it first if it is costly.
+    Runs a few small jobs over the result, which is kept for their time unless
+    it is persisted already.
     """
     check_result(d)
     if not all(isinstance(n, str) and n for n in (x_name, y_name)):
@@ -123,6 +139,11 @@ def diff_report(d: DiffResult, x_name: str = "x", y_name: str = "y", top_k: int
     for name, v in (("top_k", top_k), ("sample_k", sample_k)):
         if isinstance(v, bool) or not isinstance(v, int) or v < 0:
             raise InputError(f"`{name}` must be a whole number >= 0")
+    with kept(d):
+        return _report(d, x_name, y_name, top_k, sample_k)
+
+
+def _report(d: DiffResult, x_name: str, y_name: str, top_k: int, sample_k: int) -> DiffReport:
     label = {c: d.label(c) for c in [*d.ids, *d.measures]}
     rows = RowCounts(**{k: v or 0 for k, v in row_counts(d).first().asDict().items()})
     by_measure, changes = [], []

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import InputError
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made.
+    Only where it is unset and all run on this machine, as in tests, a temporary
+    folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise InputError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="tablediff-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -47,12 +47,12 @@ def test_rules_table(spark):
     assert td.cast_rules(spark, wide=False).count() == 35
 
 
-@pytest.mark.parametrize(("text", "value"), [("1.5", 1.5), (" -2e3\t", -2000.0), ("0x1F", 31.0), ("Inf", float("inf")), ("-inf", -float("inf")), (".5", 0.5), ("5.", 5.0), (None, None)])
+@pytest.mark.parametrize(("text", "value"), [("1.5", 1.5), (" -2e3\t", -2000.0), ("0x1F", 31.0), ("Inf", float("inf")), ("-inf", -float("inf")), (".5", 0.5), ("5.", 5.0), ("0x1p3", 8.0), ("-0X1.8P0", -1.5), ("0x.8", 0.5), ("0x1.p-1074", 5e-324), ("0x1.fffffffffffffp+1023", 1.7976931348623157e308), ("0x0001.921fb54442d18p1", 3.141592653589793), (None, None)])
 def test_text_to_number(spark, text, value):
     assert one(spark, "string", text, "character", "numeric")[0] == value
 
 
-@pytest.mark.parametrize("text", ["NA", "1d", "1f", "", "one", "1,5", "0x", "1e"])
+@pytest.mark.parametrize("text", ["NA", "1d", "1f", "", "one", "1,5", "0x", "1e", "0x.", "0x1p", "0xg", "0x1.1.1"])
 def test_text_that_is_no_number(spark, text):
     with pytest.raises(td.CastError, match="not a number"):
         one(spark, "string", text, "character", "numeric")
