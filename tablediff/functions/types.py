@@ -41,36 +41,23 @@ def col_type(kind: T.DataType) -> str:
 
 def _rule(source: str, target: str) -> tuple[bool, str]:
     """Whether the conversion is allowed, and what it does or why not."""
-    if source == "factor" and target != "character":
-        return False, "convert the labels to text first"
-    if target == "logical" and source != "character" or target == "Date" and source in ("logical", "integer64"):
-        return False, "no sound conversion"
     if source == "factor":
-        return True, "the labels, never the codes"
+        return target == "character", "levels as text" if target == "character" else "only its levels mean anything; take them as text"
+    if target == "logical" and source != "character" or target == "Date" and source in ("logical", "integer64"):
+        return False, "means nothing"
     if source == "integer64":
-        return True, {
-            "character": "the decimal text",
-            "numeric": "exact below 2^53, larger values are refused",
-            "integer": "must be within integer range",
-        }[target]
-    since = "days (Date) or seconds (POSIXct) since 1970-01-01"
-    if target == "Date" and source in ("integer", "numeric", "POSIXct"):
-        return True, {
-            "integer": "days since 1970-01-01",
-            "numeric": "days since 1970-01-01; a fraction of a day is truncated, or refused on request",
-            "POSIXct": "the calendar day; a time of day is truncated, or refused on request",
-        }[source]
+        return True, {"character": "its digits", "numeric": "refused from 2^53 on", "integer": "refused beyond 32 bits"}[target]
+    if target == "Date" and source != "character":
+        return True, "the day of the time" if source == "POSIXct" else "the day with that number, 1970-01-01 being 0"
     if source in ("Date", "POSIXct") and target in ("numeric", "integer"):
-        return True, since + ("; a fraction is truncated, or refused on request" if target == "integer" else "")
+        return True, f"{'days' if source == 'Date' else 'seconds'} from 1970-01-01 on"
     if target == "integer" and source in ("numeric", "character"):
-        return True, "a fraction is truncated toward zero, or refused on request; must be within integer range"
+        return True, "what is before the point; refused beyond 32 bits"
     if source == "character":
-        return True, 'parsed from the text; a missing value must be NULL, not the text "NA"'
+        return True, "read strictly; any other text is refused"
     if (source, target) == ("numeric", "character"):
-        return True, "up to 15 significant digits, fixed within [1e-15, 2^53); refused where the text does not read back as the number"
-    if (source, target) == ("POSIXct", "character"):
-        return True, "the local time, without its zone"
-    return True, "as is"
+        return True, "15 digits; refused where they give another number"
+    return True, "the time of day with its date" if source == "POSIXct" else "unchanged in meaning"
 
 
 RULES = {(a, b): _rule(a, b) for a in CAST_FROM for b in CAST_TYPES if a != b}

@@ -12,7 +12,7 @@ from . import (
     DiffResult, aggregate_by_key, cast_rules, compare_columns, diff_table, duplicate_keys, melt, merge_dry_run, merge_tables,
     normalize_types, summarize_columns, virtual_key,
 )
-from .functions.types import CAST_FROM, CAST_TYPES, RULES
+from .errors import CastError, DuplicatesError
 from .plans.report import one_sided, row_counts, top_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,6 +320,40 @@ def duplicated_keys(spark, sf_dir):
     return duplicate_keys(_lines(spark, sf_dir)[0], KEYS)
 
 
+@query(f"""SELECT 'x' AS side, k AS L_ORDERKEY, n AS L_LINENUMBER, count(*) AS n_rows FROM ({LINES}) GROUP BY k, n HAVING count(*) > 1
+UNION ALL SELECT 'y', k, n, count(*) FROM ({LINES_Y}) GROUP BY k, n HAVING count(*) > 1""")
+def duplicates_refused(spark, sf_dir):
+    """The repeated keys of both sides, as the refusal reports them."""
+    try:
+        diff_table(*_lines(spark, sf_dir), by=KEYS, measures="l_quantity", duplicates="error")
+    except DuplicatesError as e:
+        return e.duplicates
+    raise AssertionError("repeated keys were not refused")
+
+
+#: The C notation of whole numbers below 256.
+HEX = """'0x1' || CASE WHEN q = 2 ** b THEN '' ELSE '.' || rtrim(printf('%02x', ((q - 2 ** b) * 256 / 2 ** b)::INT), '0') END || 'p+' || b"""
+
+
+def _multiset(rows: str) -> str:
+    return f"SELECT k, n, count(*) AS c, array_to_string(list_sort(list({HEX})), '|') AS v FROM (SELECT *, floor(log2(q))::INT AS b FROM ({rows})) GROUP BY k, n"
+
+
+@query(f"""WITH x AS ({_multiset(LINES)}), y AS ({_multiset(LINES_Y)})
+SELECT coalesce(x.k, y.k) AS L_ORDERKEY, coalesce(x.n, y.n) AS L_LINENUMBER, coalesce(x.v, '') AS value_key_x, coalesce(y.v, '') AS value_key_y,
+CASE WHEN x.k IS NULL THEN 'only_y' WHEN y.k IS NULL THEN 'only_x' WHEN x.v = y.v THEN 'same' ELSE 'changed' END AS status
+FROM x FULL JOIN y ON x.k = y.k AND x.n = y.n""")
+def diff_aggregate_values(spark, sf_dir):
+    d = diff_table(*_lines(spark, sf_dir), by=KEYS, measures="l_quantity", duplicates="aggregate")
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("value_key_x", "value_key_y")]
+    return d.df.select("L_ORDERKEY", "L_LINENUMBER", *text, "status")
+
+
+@query(f"SELECT k AS l_orderkey, n AS l_linenumber, c AS n_rows, 0::BIGINT AS n_na, v AS value_key FROM ({_multiset(LINES)})")
+def aggregate_exact(spark, sf_dir):
+    return aggregate_by_key(_lines(spark, sf_dir)[0], KEYS, value="l_quantity", stats="exact")
+
+
 @query(f"""SELECT k AS l_orderkey, n AS l_linenumber, count(*) AS n_rows, 0::BIGINT AS n_na, sum(q) AS value_sum, sum(q * q) AS value_sumsq, min(q) AS value_min, max(q) AS value_max
 FROM ({LINES}) GROUP BY k, n""")
 def aggregate_moments(spark, sf_dir):
@@ -453,6 +487,21 @@ def report_row_counts(spark, sf_dir):
     return row_counts(orders_diff(spark, sf_dir))
 
 
+@query(f"""{WITH_STATUS} SELECT count(*) FILTER (in_x AND st <> 'same') AS n_x, count(*) FILTER (in_y AND st <> 'same') AS n_y, count(*) FILTER (st = 'only_x') AS n_only_x,
+0::BIGINT AS n_same, count(*) FILTER (st = 'changed') AS n_changed, count(*) FILTER (st = 'only_y') AS n_only_y FROM s""")
+def report_of_differences(spark, sf_dir):
+    """A result may be filtered before it is reported."""
+    d = orders_diff(spark, sf_dir)
+    return row_counts(d.with_df(d.differences()))
+
+
+@query(f"WITH {JOINED} SELECT {CELL_SQL}, {_status('vx = vy')} AS status FROM j WHERE {_status('vx = vy')} <> 'same' ORDER BY k, s LIMIT 10")
+def first_mismatches(spark, sf_dir):
+    """The first records that differ, in order, as the assertion shows them."""
+    d = orders_diff(spark, sf_dir)
+    return d.with_df(d.differences()).sorted().limit(10).select(*CELL)
+
+
 @query(f"{WITH_STATUS} SELECT 'o_totalprice' AS measure, count(*) FILTER (st = 'same') AS n_same, count(*) FILTER (st = 'changed') AS n_changed, round(count(*) FILTER (st = 'same')::DOUBLE / count(*) FILTER (st IN ('same', 'changed')), 6) AS match_rate, count(DISTINCT (vx, vy)) FILTER (st = 'changed') AS n_distinct_changes FROM s")
 def report_by_measure(spark, sf_dir):
     rows = orders_diff(spark, sf_dir).persisted().report().by_measure
@@ -503,21 +552,95 @@ def compared_columns(spark, sf_dir):
     return compare_columns(x, y).na.fill(0, ["n_unique_x", "n_unique_y", "n_common", "n_union"])
 
 
-def _values_sql(rows: list[tuple], names: list[str]) -> str:
-    text = lambda v: str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({', '.join(f'"{n}"' for n in names)})"
-
-
-@query(_values_sql([(a, b, ok, note) for (a, b), (ok, note) in RULES.items()], ["from", "to", "allowed", "note"]))
+@query("""SELECT * FROM (VALUES
+('logical', 'character', true), ('Date', 'character', true), ('numeric', 'character', true), ('integer', 'character', true), ('POSIXct', 'character', true), ('factor', 'character', true), ('integer64', 'character', true),
+('character', 'logical', true), ('Date', 'logical', false), ('numeric', 'logical', false), ('integer', 'logical', false), ('POSIXct', 'logical', false), ('factor', 'logical', false), ('integer64', 'logical', false),
+('character', 'Date', true), ('logical', 'Date', false), ('numeric', 'Date', true), ('integer', 'Date', true), ('POSIXct', 'Date', true), ('factor', 'Date', false), ('integer64', 'Date', false),
+('character', 'numeric', true), ('logical', 'numeric', true), ('Date', 'numeric', true), ('integer', 'numeric', true), ('POSIXct', 'numeric', true), ('factor', 'numeric', false), ('integer64', 'numeric', true),
+('character', 'integer', true), ('logical', 'integer', true), ('Date', 'integer', true), ('numeric', 'integer', true), ('POSIXct', 'integer', true), ('factor', 'integer', false), ('integer64', 'integer', true)) t("from", "to", allowed)""")
 def cast_rules_long(spark, sf_dir):
-    return cast_rules(spark, wide=False)
+    return cast_rules(spark, wide=False).select("from", "to", "allowed")
 
 
-@query(_values_sql([(a, *("=" if a == b else "yes" if RULES[a, b][0] else "-" for b in CAST_TYPES)) for a in CAST_FROM], ["from", *CAST_TYPES]))
+@query("""SELECT * FROM (VALUES
+('character', '=', 'yes', 'yes', 'yes', 'yes'), ('logical', 'yes', '=', '-', 'yes', 'yes'), ('Date', 'yes', '-', '=', 'yes', 'yes'), ('numeric', 'yes', '-', 'yes', '=', 'yes'),
+('integer', 'yes', '-', 'yes', 'yes', '='), ('POSIXct', 'yes', '-', 'yes', 'yes', 'yes'), ('factor', 'yes', '-', '-', '-', '-'), ('integer64', 'yes', '-', '-', 'yes', 'yes'))
+t("from", "character", "logical", "Date", "numeric", "integer")""")
 def cast_rules_wide(spark, sf_dir):
     return cast_rules(spark)
 
 
+# --- each conversion: the candidate has the column `v` in another type, as part of the key, so rows align only where it is right
+
+DAYS = "datediff(o_orderdate, DATE'1970-01-01')"
+DAYS_SQL = "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
+SECOND = "timestampadd(SECOND, CAST(o_orderkey % 86400 AS INT), CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ))"
+SECONDS_SQL = f"({DAYS_SQL} * 86400 + o_orderkey % 86400)"
+
+#: By name: `v` of the candidate and of the benchmark in Spark SQL, and the latter in DuckDB's.
+CONVERSIONS = {
+    "text_to_numeric": ("CAST(o_totalprice AS STRING)", "o_totalprice", "o_totalprice"),
+    "hexadecimal_to_numeric": ("concat('0x', hex(o_orderkey), '.8p1')", "CAST(2 * o_orderkey + 1 AS DOUBLE)", "CAST(2 * o_orderkey + 1 AS DOUBLE)"),
+    "text_to_integer": ("concat(' ', o_orderkey, '.0')", "CAST(o_orderkey AS INT)", "CAST(o_orderkey AS INT)"),
+    "text_to_logical": ("element_at(array('TRUE', 'F', 'true', 'False'), CAST(o_orderkey % 4 + 1 AS INT))", "o_orderkey % 2 = 0", "o_orderkey % 2 = 0"),
+    "text_to_date": ("date_format(o_orderdate, 'yyyy-MM-dd')", "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "date_to_text": ("CAST(o_orderdate AS DATE)", "date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')"),
+    "date_to_numeric": ("CAST(o_orderdate AS DATE)", f"CAST({DAYS} AS DOUBLE)", f"CAST({DAYS_SQL} AS DOUBLE)"),
+    "date_to_integer": ("CAST(o_orderdate AS DATE)", DAYS, f"CAST({DAYS_SQL} AS INT)"),
+    "numeric_to_text": ("o_orderkey / 8D", r"regexp_replace(CAST(CAST(o_orderkey AS DECIMAL(20, 0)) / 8 AS STRING), '\\.?0+$', '')",
+                        "CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderkey // 8 AS VARCHAR) ELSE CAST(o_orderkey / 8 AS VARCHAR) END"),
+    "numeric_to_integer": ("o_orderkey + 0.5D", "CAST(o_orderkey AS INT)", "CAST(o_orderkey AS INT)"),
+    "numeric_to_date": (f"{DAYS} + 0.75D", "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "integer_to_date": (DAYS, "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "integer_to_text": ("CAST(o_orderkey AS INT)", "CAST(o_orderkey AS STRING)", "CAST(o_orderkey AS VARCHAR)"),
+    "integer_to_numeric": ("CAST(o_orderkey AS INT)", "CAST(o_orderkey AS DOUBLE)", "CAST(o_orderkey AS DOUBLE)"),
+    "logical_to_numeric": ("o_orderkey % 2 = 1", "CAST(o_orderkey % 2 AS DOUBLE)", "CAST(o_orderkey % 2 AS DOUBLE)"),
+    "logical_to_integer": ("o_orderkey % 2 = 1", "CAST(o_orderkey % 2 AS INT)", "CAST(o_orderkey % 2 AS INT)"),
+    "logical_to_text": ("o_orderkey % 2 = 1", "IF(o_orderkey % 2 = 1, 'TRUE', 'FALSE')", "CASE WHEN o_orderkey % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END"),
+    "time_to_text": (SECOND, f"date_format({SECOND}, 'yyyy-MM-dd HH:mm:ss')", f"strftime(make_timestamp({SECONDS_SQL} * 1000000), '%Y-%m-%d %H:%M:%S')"),
+    "time_to_date": (SECOND, "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "time_to_numeric": (SECOND, f"CAST({DAYS} * 86400D + o_orderkey % 86400 AS DOUBLE)", f"CAST({SECONDS_SQL} AS DOUBLE)"),
+    "time_to_integer": (SECOND, f"CAST({DAYS} * 86400D + o_orderkey % 86400 AS INT)", f"CAST({SECONDS_SQL} AS INT)"),
+    "bigint_to_text": ("o_orderkey", "CAST(o_orderkey AS STRING)", "CAST(o_orderkey AS VARCHAR)"),
+    "bigint_to_numeric": ("3 * o_orderkey", "CAST(3 * o_orderkey AS DOUBLE)", "CAST(3 * o_orderkey AS DOUBLE)"),
+    "bigint_to_integer": ("o_orderkey", "CAST(o_orderkey AS INT)", "CAST(o_orderkey AS INT)"),
+}
+
+
+def _converted(candidate: str, benchmark: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf_dir):
+        (o,) = tables(spark, sf_dir, "orders")
+        x, y = (o.selectExpr("CAST(o_orderkey AS INT) AS k", f"{v} AS v", "o_totalprice AS m") for v in (benchmark, candidate))
+        return diff_table(x, y, by=["k", "v"], measures="m").df.select("K", "V", "status")
+
+    return run
+
+
+for _name, (_y, _x, _sql) in CONVERSIONS.items():
+    QUERIES[f"cast_{_name}"] = _converted(_y, _x)
+    ORACLE_SQL[f"cast_{_name}"] = f"SELECT CAST(o_orderkey AS INT) AS K, {_sql} AS V, 'same' AS status FROM orders"
+
+
+@query("""SELECT 'o_orderkey' AS "column", (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) AS n,
+(SELECT string_agg(CAST(o_orderkey + 0.5 AS VARCHAR) || ' -> ' || o_orderkey, ', ' ORDER BY o_orderkey) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0 ORDER BY o_orderkey LIMIT 3)) AS examples""")
+def cast_truncations(spark, sf_dir):
+    """What a cast truncates, with the first three examples."""
+    rows = [(t.column, t.n, t.examples) for t in _truncating(spark, sf_dir).truncated]
+    return spark.createDataFrame(rows, "column string, n long, examples string")
+
+
+@query("SELECT o_orderkey || 'k' AS example FROM orders WHERE o_orderkey % 1000 = 7 ORDER BY o_orderkey LIMIT 3")
+def cast_refused(spark, sf_dir):
+    """The first three values for which a cast is refused."""
+    x, _ = orders(spark, sf_dir)
+    y = x.withColumn("at", F.col("o_orderkey")).withColumn("o_orderkey", F.concat("o_orderkey", F.when(F.col("o_orderkey") % 1000 == 7, "k").otherwise("")))
+    try:
+        diff_table(x.withColumn("at", F.col("o_orderkey")), y, by=["o_orderkey"], order_by=["at"])
+    except CastError as e:
+        return spark.createDataFrame([(v,) for v in e.examples], "example string")
+    raise AssertionError("the cast was not refused")
+
+
 @query("""SELECT event_id::INT AS event_id, CAST(ts AS DATE) AS ts, value FROM events""")
 def normalized_types(spark, sf_dir):
     (e,) = tables(spark, sf_dir, "events")
