@@ -79,3 +79,22 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         n_lines.alias("n_lines"),
         F.coalesce(total - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+#: op8 in DuckDB SQL, for documents whose doc_id is a key.
+SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+pairs AS (
+  SELECT doc_id, place, lines[place] AS a, lines[place + 1] AS b
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines))) AS place FROM d)
+  WHERE regexp_matches(lines[place], '[^\x20\x09-\x0D]') AND regexp_matches(lines[place + 1], '[^\x20\x09-\x0D]')),
+again AS (SELECT doc_id, place FROM pairs QUALIFY rank() OVER (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, place) > 1),
+gone AS (SELECT doc_id, place FROM again UNION SELECT doc_id, place + 1 FROM again),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text
+  FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.place = gone.place GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(n, 0))::BIGINT AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

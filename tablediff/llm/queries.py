@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those of QUERIES that it can express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_substrings": substrings.SQL,
     "op4_mixing": mixing.SQL,
+    "op8_lines": lines.SQL,
     "op9_warc": warc.SQL,
 }

@@ -296,3 +296,20 @@ def substring_dedup(docs: DataFrame, least: int = 20, shard: int = 2000, hot: in
             )
 
     return rows.join(ranges, ["id", "h"], "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: op3 in DuckDB SQL, for documents whose doc_id is a key.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM d)),
+again AS (SELECT doc_id, start FROM windows QUALIFY rank() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, start) > 1),
+gone AS (SELECT DISTINCT doc_id, start + k AS place FROM again, range(20) AS r(k)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+  FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.place = gone.place GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
