@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
+from . import conversations, decontaminate, html, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -69,6 +69,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"), fraction=1 / 8, shingle=5)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversations": op11_conversations,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
@@ -88,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
     "op8_lines": lines.SQL,
     "op9_warc": warc.SQL,
+    "op11_conversations": conversations.SQL,
 }
