@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, html, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
+from . import conversations, decontaminate, html, lines, mixing, quality, ranked, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(conversations.damaged(rows), rows)
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversations": op11_conversations,
+    "op12_ranked": op12_ranked,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
@@ -95,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_lines": lines.SQL,
     "op9_warc": warc.SQL,
     "op11_conversations": conversations.SQL,
+    "op12_ranked": ranked.SQL,
 }
