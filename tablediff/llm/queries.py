@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, html, lines, mixing, quality, ranked, simhash, sketch, substrings, tokens, warc
+from . import conversations, decontaminate, html, lines, mixing, pii, quality, ranked, simhash, sketch, substrings, tokens, warc
 from .common import table
 
 
@@ -78,6 +78,10 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_conversations": op11_conversations,
     "op12_ranked": op12_ranked,
+    "op13_pii": op13_pii,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
