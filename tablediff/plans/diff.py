@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..errors import (
     ColumnsError, DisjointError, DuplicatesError, DuplicatesWarning, InputError, KeysError, MeasuresError, Note, TypesError, listed, log,
 )
-from ..functions.cast import Truncation, convert
+from ..functions.cast import Cast, Truncation
 from ..functions.classify import relative, same_value, status
 from ..functions.names import Name, canonical_name, check_names, name_map
 from ..functions.types import CAST_TYPES, MEASURE_TYPES, SPARK_TYPES, col_type
 from ..operators.keys import dry_run, folded, multiset, same_keys
 from ..operators.measures import select_measures, unpivot
-from ..operators.rows import number_rows, occurrence, virtual_key
+from ..operators.rows import numbered, occurrence, virtual_key
 
 #: Columns that the engine adds to the identity.
 OWN = {
@@ -235,13 +235,15 @@ def diff_table(
     with ThreadPoolExecutor(3) as pool:  # each runs a job
         if keys and row_key == "none" and not (cast and off):  # keys are as they will be compared
             dry = pool.submit(lambda w: dry_run(*w, keys).first().asDict(), [_wide(w, kinds, keys, [], nan_is_na, False) for w in (wx, wy)])
-        if needs_number:
-            wx, wy = pool.map(lambda w: number_rows(w, "__row", _order(w, order_by)), (wx, wy))
+        casting = Cast({inner[c]: (label_y[c], types_y[c], types_x[c]) for c in names}, date_format, nan_is_na) if cast and off else None
+        if needs_number:  # the job that numbers y also counts what its cast refuses
+            tasks = [pool.submit(numbered, wx, "__row", _order(wx, order_by)), pool.submit(numbered, wy, "__row", _order(wy, order_by), *((casting.prepared, casting.sums) if casting else ()))]
+            (wx, _), (wy, counts) = (t.result() for t in tasks)
         dry = dry and dry.result()
     truncated, lost_rows = [], None
-    if cast and off:
-        plan = {inner[c]: (label_y[c], types_y[c], types_x[c]) for c in names}
-        wy, truncated, lost_rows = convert(wy, plan, "__row", date_format, truncate, nan_is_na)
+    if casting:
+        truncated, lost_rows = casting.judged(wy, "__row", counts, truncate)
+        wy = casting.finished(wy, [*inner.values(), "__row"])
         if truncated:
             total = sum(t.n for t in truncated)
             note("truncation", f"the cast of y cut {total:,} values: " + "; ".join(f"{t.n:,} of {t.column}, as {t.examples}" for t in truncated), [t.column for t in truncated])
@@ -261,7 +263,7 @@ def diff_table(
         groups = _repeats(wx, wy, keys, ids)
         if duplicates == "error":
             raise DuplicatesError(f"{head}, which duplicates='error' refuses", duplicates=groups)
-        wx, wy = occurrence(wx, keys, "__row", "__seq"), occurrence(wy, keys, "__row", "__seq")
+        wx, wy = (occurrence(w, keys, "__row", "__seq", dry["__most"]) for w in (wx, wy))
         paired = True
         if chosen:
             warnings.warn(DuplicatesWarning(f"{head}; the first of x goes with the first of y and so on (key_seq), so both should list them alike", groups), stacklevel=2)

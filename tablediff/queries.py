@@ -278,7 +278,7 @@ SEQ = "row_number() OVER (PARTITION BY k, n ORDER BY p, u, q, e) AS seq"
 
 
 @query(f"""WITH x AS (SELECT *, {SEQ} FROM ({LINES})), y AS (SELECT *, {SEQ} FROM ({LINES_Y}))
-SELECT coalesce(x.k, y.k) AS L_ORDERKEY, coalesce(x.n, y.n) AS L_LINENUMBER, coalesce(x.seq, y.seq)::INT AS key_seq, x.q AS value_x, y.q AS value_y,
+SELECT coalesce(x.k, y.k) AS L_ORDERKEY, coalesce(x.n, y.n) AS L_LINENUMBER, coalesce(x.seq, y.seq) AS key_seq, x.q AS value_x, y.q AS value_y,
 CASE WHEN x.k IS NULL THEN 'only_y' WHEN y.k IS NULL THEN 'only_x' WHEN x.q = y.q THEN 'same' ELSE 'changed' END AS status
 FROM x FULL JOIN y ON x.k = y.k AND x.n = y.n AND x.seq = y.seq""")
 def diff_disambiguate(spark, sf_dir):
@@ -307,7 +307,7 @@ def diff_aggregate_rows_only(spark, sf_dir):
 
 @query(f"""WITH x AS (SELECT k, count(*) AS c FROM ({LINES}) GROUP BY k), y AS (SELECT k, count(*) AS c FROM ({LINES_Y}) GROUP BY k),
 j AS (SELECT coalesce(x.k, y.k) AS k, coalesce(x.c, 0) AS cx, coalesce(y.c, 0) AS cy FROM x FULL JOIN y ON x.k = y.k)
-SELECT k AS L_ORDERKEY, i::INT AS key_seq, CASE WHEN i <= least(cx, cy) THEN 'same' WHEN i <= cx THEN 'only_x' ELSE 'only_y' END AS status
+SELECT k AS L_ORDERKEY, i::BIGINT AS key_seq, CASE WHEN i <= least(cx, cy) THEN 'same' WHEN i <= cx THEN 'only_x' ELSE 'only_y' END AS status
 FROM j, range(1, 1000) r(i) WHERE i <= greatest(cx, cy)""")
 def diff_rows_multiset(spark, sf_dir):
     """Rows without measures, as multisets."""
@@ -410,7 +410,7 @@ POSITION = f"""WITH x AS (SELECT *, row_number() OVER (ORDER BY k) AS r FROM ({S
 y AS (SELECT k, CASE WHEN k = 7 THEN s_acctbal + 1e6 ELSE s_acctbal END AS s_acctbal, row_number() OVER (ORDER BY k DESC) AS r FROM ({SUPPLIER}))"""
 
 
-@query(f"{POSITION} SELECT r::INT AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y, CASE WHEN x.s_acctbal = y.s_acctbal THEN 'same' ELSE 'changed' END AS status FROM x JOIN y USING (r)")
+@query(f"{POSITION} SELECT r AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y, CASE WHEN x.s_acctbal = y.s_acctbal THEN 'same' ELSE 'changed' END AS status FROM x JOIN y USING (r)")
 def diff_position(spark, sf_dir):
     """The candidate's rows are in the opposite order."""
     x, y = _values(spark, sf_dir, "s_acctbal")
@@ -424,20 +424,20 @@ SORTED = f"""WITH x AS (SELECT *, row_number() OVER (%s ORDER BY s_acctbal) AS r
 y AS (SELECT s_nationkey, v AS s_acctbal, row_number() OVER (%s ORDER BY v) AS r FROM (SELECT *, CASE WHEN k = 7 THEN s_acctbal + 1e6 ELSE s_acctbal END AS v FROM ({SUPPLIER})))"""
 
 
-@query(SORTED.replace("%s", "") + " SELECT r::INT AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y, CASE WHEN x.s_acctbal = y.s_acctbal THEN 'same' ELSE 'changed' END AS status FROM x JOIN y USING (r)")
+@query(SORTED.replace("%s", "") + " SELECT r AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y, CASE WHEN x.s_acctbal = y.s_acctbal THEN 'same' ELSE 'changed' END AS status FROM x JOIN y USING (r)")
 def diff_sorted(spark, sf_dir):
     x, y = (t.drop("s_suppkey") for t in _values(spark, sf_dir, "s_acctbal"))
     return diff_table(x, y, row_key="sorted").df.select("row_number", "value_x", "value_y", "status")
 
 
-@query(SORTED.replace("%s", "PARTITION BY s_nationkey") + """ SELECT s_nationkey AS S_NATIONKEY, r::INT AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y,
+@query(SORTED.replace("%s", "PARTITION BY s_nationkey") + """ SELECT s_nationkey AS S_NATIONKEY, r AS row_number, x.s_acctbal AS value_x, y.s_acctbal AS value_y,
 CASE WHEN x.s_acctbal = y.s_acctbal THEN 'same' ELSE 'changed' END AS status FROM x JOIN y USING (s_nationkey, r)""")
 def diff_sorted_grouped(spark, sf_dir):
     x, y = (t.drop("s_suppkey") for t in _values(spark, sf_dir, "s_nationkey", "s_acctbal"))
     return diff_table(x, y, row_key="sorted").df.select("S_NATIONKEY", "row_number", "value_x", "value_y", "status")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey)::INT AS place FROM part")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part")
 def virtual_key_sorted(spark, sf_dir):
     (p,) = tables(spark, sf_dir, "part")
     numbered = p.select("p_partkey", "p_retailprice").withColumn("at", F.col("p_partkey"))

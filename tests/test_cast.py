@@ -20,7 +20,12 @@ VALUES = {
 
 def one(spark, kind, value, source, target, **options):
     df = frame(spark, f"v {kind}, r int", (value, 1))
-    out, lost, _ = c.convert(df, {"v": ("v", source, target)}, "r", **options)
+    truncate = options.pop("truncate", True)
+    cast = c.Cast({"v": ("v", source, target)}, **options)
+    work = cast.prepared(df)
+    counts = work.agg(*[F.sum(x).alias(k) for k, x in cast.sums.items()]).first().asDict() if cast.sums else {}
+    lost, _ = cast.judged(work, "r", counts, truncate)
+    out = cast.finished(work, ["v", "r"])
     assert dict(out.dtypes)["v"] == (SPARK_TYPES[target] if source != target else kind)
     return out.first()["v"], lost
 
@@ -54,7 +59,7 @@ def test_text_to_number(spark, text, value):
 
 @pytest.mark.parametrize("text", ["NA", "1d", "1f", "", "one", "1,5", "0x", "1e", "0x.", "0x1p", "0xg", "0x1.1.1"])
 def test_text_that_is_no_number(spark, text):
-    with pytest.raises(td.CastError, match="not a number"):
+    with pytest.raises(td.CastError, match="not read as a number"):
         one(spark, "string", text, "character", "numeric")
 
 
@@ -68,11 +73,11 @@ def test_number_to_text(spark, value, text):
 
 def test_refused_values(spark):
     for kind, v, source, target, why in (
-        ("double", 0.1 + 0.2, "numeric", "character", "loses precision"), ("double", 3e9, "numeric", "integer", "outside integer range"),
-        ("double", -2147483648.0, "numeric", "integer", "outside integer range"), ("string", "yes", "character", "logical", "not a logical"),
-        ("string", "2021-3-4", "character", "Date", "not a"), ("string", "0024-01-01", "character", "Date", "not a canonical"),
-        ("string", "2021-02-30", "character", "Date", "not a date"), ("bigint", 2**53 + 1, "integer64", "numeric", "9007199254740993"),
-        ("bigint", 2**31, "integer64", "integer", "outside integer range"), ("string", "3e9", "character", "integer", "outside integer range"),
+        ("double", 0.1 + 0.2, "numeric", "character", "15 digits"), ("double", 3e9, "numeric", "integer", "an integer ends"),
+        ("double", -2147483648.0, "numeric", "integer", "an integer ends"), ("string", "yes", "character", "logical", "says neither"),
+        ("string", "2021-3-4", "character", "Date", "does not read"), ("string", "0024-01-01", "character", "Date", "is not how"),
+        ("string", "2021-02-30", "character", "Date", "does not read as"), ("bigint", 2**53 + 1, "integer64", "numeric", "9007199254740993"),
+        ("bigint", 2**31, "integer64", "integer", "an integer ends"), ("string", "3e9", "character", "integer", "an integer ends"),
     ):
         with pytest.raises(td.CastError, match=why):
             one(spark, kind, v, source, target)
@@ -95,6 +100,29 @@ def test_truncation(spark):
                 one(spark, kind, v, source, target, truncate=False)
 
 
+def test_each_text_is_read_once(spark):
+    """Whatever is made of a value that was read from text, its plan has each way of reading once."""
+    df = spark.range(10).select(F.col("id").cast("int").alias("r"), F.concat(F.col("id").cast("string"), F.lit(".5")).alias("v"))
+    cast = c.Cast({"v": ("v", "character", "integer")})
+    work = cast.prepared(df)
+    checked = work.agg(*[F.sum(x).alias(k) for k, x in cast.sums.items()])
+    for plan in (checked, cast.finished(work, ["v", "r"])):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert [text.count(f"{f}(") for f in ("regexp_replace", "conv", "regexp_extract")] == [1, 1, 0] and text.count("RLIKE") == 2
+    assert checked.first()["lost|v"] == 10
+
+
+def test_examples_of_several_columns_by_one_job(spark):
+    x = frame(spark, "id int, a int, b int, d date", *[(i, i, i, dt.date(2020, 1, 1)) for i in range(1, 7)])
+    y = frame(spark, "id int, a double, b string, d timestamp_ntz", *[(i, i + 0.5, f"{i}.25", dt.datetime(2020, 1, 1, i)) for i in range(1, 7)])
+    r = td.diff_table(x, y, by="id", measures=["a", "b"])
+    assert [(t.column, t.n, t.examples) for t in r.truncated] == [
+        ("a", 6, "1.5 -> 1, 2.5 -> 2, 3.5 -> 3"), ("b", 6, "1.25 -> 1, 2.25 -> 2, 3.25 -> 3"),
+        ("d", 6, "2020-01-01 01:00:00 -> 2020-01-01, 2020-01-01 02:00:00 -> 2020-01-01, 2020-01-01 03:00:00 -> 2020-01-01"),
+    ]
+    assert r.truncated_rows().count() == 18
+
+
 def test_date_formats(spark):
     assert one(spark, "string", "04/03/2021", "character", "Date", date_format="%d/%m/%Y")[0] == dt.date(2021, 3, 4)
     assert one(spark, "date", dt.date(2021, 3, 4), "Date", "character", date_format="day %d of %B")[0] == "day 04 of March"

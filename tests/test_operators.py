@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import tablediff as td
 from tablediff.functions.names import canonical_name, check_names, name_map
 from tablediff.operators.keys import hex_float
+from tablediff.operators.measures import select_measures
 
 from .test_diff import frame
 
@@ -105,3 +106,80 @@ def test_virtual_key(spark):
     assert place(sort_by=["v"]) == {3: 1, 1: 2, 2: 3, 4: 4}
     assert place(groups=["g"], sort_by=["v"]) == {1: 1, 3: 1, 2: 2, 4: 3}
     assert {r.n for r in td.virtual_key(df, "position", "at", "n").collect()} == {1, 2, 3, 4}
+
+
+def numbers(df, name="n"):
+    return {r["at"]: r[name] for r in df.collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_occurrence_over_ranges(spark, monkeypatch, partitions):
+    """Keys of any number of rows are numbered as a window does, in many tasks."""
+    rows = [(None if i % 3 else "a", float(i % 2), (i * 7919) % 1000) for i in range(1000)]
+    rows += [("b", 1.0, 1000 + i) for i in range(5)] + [("c", None, 1005), ("c", float("nan"), 1006), ("c", float("nan"), 1007)]
+    df = spark.createDataFrame(rows, "k string, j double, at long").repartition(5)
+    expected = numbers(td.occurrence(df, ["k", "j"], "at", "n"))
+    monkeypatch.setattr("tablediff.operators.rows.TASK_ROWS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = td.occurrence(df, ["k", "j"], "at", "n", largest=500)
+        assert numbers(got) == expected and dict(got.dtypes)["n"] == "bigint" and got.columns == [*df.columns, "n"]
+        single = spark.range(2000).select(F.lit("one").alias("k"), F.col("id").alias("at"))
+        assert numbers(td.occurrence(single, ["k"], "at", "n")) == {i: i + 1 for i in range(2000)}
+        if partitions > 1:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spread = td.occurrence(single, ["k"], "at", "n").groupBy(F.spark_partition_id()).count().collect()
+            assert max(r["count"] for r in spread) < 2000
+        assert td.occurrence(single.limit(0), ["k"], "at", "n").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_places_in_groups_of_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([("g", float(i % 10), i) for i in range(300)] + [("h", None, 300), ("h", NAN, 301), ("h", 1.0, 302)], "g string, v double, at long")
+    expected = numbers(td.virtual_key(df, "sorted", "at", "n", groups=["g"], sort_by=["v"]))
+    assert [expected[i] for i in (302, 300, 301, 0, 10)] == [1, 2, 3, 1, 2]
+    monkeypatch.setattr("tablediff.operators.rows.TASK_ROWS", 10)
+    assert numbers(td.virtual_key(df, "sorted", "at", "n", groups=["g"], sort_by=["v"])) == expected
+
+
+def test_places_beyond_32_bits(spark):
+    row = td.virtual_key(spark.range(2**31, 2**31 + 1), "position", "id", "n").first()
+    assert row["n"] == 2**31
+
+
+def test_repeated_keys_in_one_hot_key(spark, monkeypatch):
+    x = spark.range(500).select(F.lit("k").alias("id"), F.col("id").cast("double").alias("v"))
+    y = spark.range(400).select(F.lit("k").alias("id"), (F.col("id") + (F.col("id") == 7).cast("int")).cast("double").alias("v"))
+    monkeypatch.setattr("tablediff.operators.rows.TASK_ROWS", 20)
+    with pytest.warns(td.DuplicatesWarning):
+        d = td.diff_table(x, y)
+    assert {r["status"]: r["count"] for r in d.df.groupBy("status").count().collect()} == {"same": 399, "changed": 1, "only_x": 100}
+    assert d.df.agg(F.max("key_seq"), F.countDistinct("key_seq")).first()[:] == (500, 500)
+
+
+def test_row_numbers_of_what_does_not_arrive_alike(spark, tmp_path):
+    from tablediff.operators.rows import placed, repeatable
+
+    spark.range(100, numPartitions=5).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert repeatable(scan.where("id > 3").selectExpr("id + 1 AS id")) and repeatable(frame(spark, "id int", (1,), (2,)))
+    shuffled = scan.repartition(6)
+    assert not repeatable(shuffled) and not repeatable(scan.groupBy("id").count()) and not repeatable(scan.join(scan, "id"))
+    assert any("/rows-" in f for f in placed(shuffled).inputFiles()) and not any("/rows-" in f for f in placed(scan).inputFiles())
+    numbered = td.number_rows(shuffled, "n")
+    first = {r["id"]: r["n"] for r in numbered.collect()}
+    assert sorted(first.values()) == list(range(1, 101))
+    assert {r["id"]: r["n"] for r in numbered.repartition(3).collect()} == first
+
+
+def test_measures_that_are_none(spark):
+    types = {"A": "numeric", "B": "integer", "C": "character"}
+    assert select_measures(types) == ["A"] and select_measures(types, "numeric+integer") == ["A", "B"] and select_measures(types, ["B", "A"]) == ["B", "A"]
+    with pytest.raises(td.MeasuresError) as e:
+        select_measures(types, ["A", "C", "D", "A"])
+    assert e.value.columns == ["A", "C", "D"]
+    for wrong in ([], None, [1]):
+        with pytest.raises(td.MeasuresError):
+            select_measures(types, wrong)
