@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stash
@@ -27,13 +27,16 @@ def multipliers(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """A key for each band of the minima of `hashes`; none without hashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def minima(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The least of `hashes` under each permutation."""
     least = np.full(len(by), 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), PIECE):
         np.minimum(least, np.multiply.outer(by, hashes[at : at + PIECE]).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minima."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ (column >> np.uint64(29)) ^ column) * np.uint64(0xD6E8FEB86659FD93)
@@ -41,23 +44,47 @@ def band_keys(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def signature(least: np.ndarray) -> bytes:
+    """16 bits of each minimum. Texts of a similarity agree in about that share of them, and seldom elsewhere."""
+    mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def fewest_shared(similarity: float) -> int:
+    """Minima in which texts of the similarity agree but for one pair in billions (six and a half deviations)."""
+    n = BANDS * ROWS
+    return int(n * similarity - 6.5 * (n * similarity * (1 - similarity)) ** 0.5)
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; texts with the same ones are taken as equal."""
+    return F.unhex(F.md5(text))
+
+
 def _keyed(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, h, fp, keys) of each row: the hash of its text, op1's fingerprint, and its bands."""
+    """(doc_id, h, digest, fp, keys, size, signature) of each row: two hashes of its text, op1's fingerprint, its bands, and its shingles' number and minima."""
 
     def run(batches):
         by = multipliers(seed)
         for batch in slices(batches):
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            fps = [majority(shingle_hashes(t, 3, seed)) for t in texts]
-            keys = [band_keys(shingle_set(t, shingle, seed), by) for t in texts]
+            fps, keys, sizes, signatures = [], [], [], []
+            for t in batch.column(3).cast(pa.binary()).to_pylist():
+                fps.append(majority(shingle_hashes(t, 3, seed)))
+                hashes = shingle_set(t, shingle, seed)
+                least = minima(hashes, by)
+                sizes.append(len(hashes))
+                keys.append(band_keys(least) if len(hashes) else [])
+                signatures.append(signature(least))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "h", "fp", "keys"],
-            )
+                [
+                    *batch.columns[:3], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()),
+                ],
+                ["doc_id", "h", "digest", "fp", "keys", "size", "signature"],
+            )
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(
-        run, "doc_id long, h long, fp long, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text_digest(text).alias("digest"), text.alias("text")).mapInArrow(
+        run, "doc_id long, h long, digest binary, fp long, keys array<long>, size int, signature binary"
     )
 
 
@@ -74,13 +101,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFr
     return rows.mapInArrow(run, "h long, hashes array<long>").dropDuplicates(["h"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets reach the similarity."""
+def _likely(pairs: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) that sizes and signatures leave; these are short, whatever the texts are."""
+    least = fewest_shared(similarity)
+
+    def run(batches):
+        for batch in slices(batches, 8192):
+            both = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for k in (2, 3)]
+            yield batch.select([0, 1]).filter(pa.array((both[0] == both[1]).sum(axis=1) >= least))
+
+    side = lambda k: keyed.select(F.col("h").alias(k), F.col("size").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    return near.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets reach the similarity. Sets are only brought to pairs that are likely to."""
     x = sets.select(F.col("h").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("h").alias("b"), F.col("hashes").alias("y"))
     both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    sized = (F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9)
-    return pairs.join(x, "a").join(y, "b").where(sized).where(both >= similarity * (total - both) - 1e-9).select("a", "b")
+    near = stash(_likely(pairs.distinct(), keyed, similarity), "likely")
+    return stash(near.join(x, "a").join(y, "b").where(both >= similarity * (total - both) - 1e-9).select("a", "b"), "alike")
 
 
 def jaccard_links(
@@ -88,25 +129,33 @@ def jaccard_links(
 ) -> DataFrame:
     """Links (a, b) between text hashes that connect all texts of `docs` that share a band and reach the similarity.
 
-    `keyed` has h and keys, a row for each text. All pairs of a band's bucket of
-    up to `bucket` texts are verified. A fuller one may hold a large group of
-    near copies: the one next to what most of them share is first compared with
-    all others, then the pairs that are not linked yet and can reach the similarity.
+    `keyed` has h, keys, size and signature, a row for each text. In each band's
+    bucket all texts are first compared with one of them, which links most groups
+    of copies. What is not connected then is compared pair by pair in buckets of
+    up to `bucket` texts. A fuller one may hold a large group of near copies:
+    there the one next to what most of them share is compared with all others,
+    then the pairs that are not linked yet and can reach the similarity.
     """
     keys = keyed.select("h", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
     keys = stash(keys.join(sizes, "key"), "bands")
     sets = stash(_sets(docs, keys.select("h").distinct(), shingle, seed), "shingles")
-
-    few, full = keys.where(F.col("n") <= bucket), keys.where(F.col("n") > bucket).select("key", "h")
-    pairs = few.select("key", F.col("h").alias("a")).join(few.select("key", F.col("h").alias("b")), "key").where("a < b")
-    found = stash(_alike(pairs.select("a", "b").distinct(), sets, similarity), "alike")
+    found = _alike(keys.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")), keyed, sets, similarity)
+
+    roots = stash(connected_components(found), "roots")
+    rooted = keys.join(roots, F.col("h") == F.col("node"), "left").select("key", "n", "h", F.coalesce("root", "h").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    rooted = stash(rooted.join(mixed, "key"), "bands")
+    few, full = rooted.where(F.col("n") <= bucket), rooted.where(F.col("n") > bucket).select("key", "h")
+    side = lambda k: few.select("key", F.col("h").alias(k), F.col("root").alias(f"root_{k}"))
+    pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b").select("a", "b")
+    found = found.union(_alike(pairs, keyed, sets, similarity))
     if full.isEmpty():
         return found
     held = stash(_in_buckets(full, sets), "bands")
     star = held.join(held.groupBy("key").agg(F.max_by("h", "to_core").alias("a")), "key").where("a <> h")
-    found = found.union(stash(_alike(star.select("a", F.col("h").alias("b")).distinct(), sets, similarity), "alike"))
-    return found.union(_alike(_apart(held, connected_components(found), similarity), sets, similarity))
+    found = found.union(_alike(star.select("a", F.col("h").alias("b")), keyed, sets, similarity))
+    return found.union(_alike(_apart(held, connected_components(found), similarity), keyed, sets, similarity))
 
 
 def _in_buckets(full: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,22 +205,22 @@ def _apart(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = 64) -> DataFrame:
-    """One row of `docs` (doc_id, text; other columns are kept) for each group of near-duplicates.
+    """One row of `docs` (doc_id, text; other columns of any name are kept) for each group of near-duplicates.
 
     Linked are texts whose sets of `shingle` words have at least the Jaccard
     similarity, and texts that op1_simhash links (three words, 2 of 64 bits). Of
     a group the row with the least doc_id stays (null is the last), of several
-    texts with that doc_id the one with the least hash.
+    texts with that doc_id the one with the least hash. Texts without words, null
+    and empty ones too, are one group, as their fingerprints are equal. Rows that
+    share doc_id and text give one. An empty table gives none.
     """
     rows = stash(_keyed(docs, shingle, seed), "keyed")
-    texts = rows.dropDuplicates(["h"])
+    texts = stash(rows.drop("doc_id").dropDuplicates(["h"]), "texts")
     prints = texts.groupBy("fp").agg(F.min("h").alias("least"))
     a, b = (prints.select(F.col("fp").alias(c), F.col("least").alias(f"h_{c}")) for c in "ab")
     bits = links(prints.select("fp"), 2, bucket).join(a, "a").join(b, "b").select("h_a", "h_b")
     same = texts.join(prints, "fp").where("h <> least").select("h", "least")
     jaccard = jaccard_links(docs, texts, shingle, similarity, seed, bucket)
     roots = connected_components(jaccard.union(same).union(bits).toDF("a", "b"))
-    placed = rows.join(roots, F.col("h") == F.col("node"), "left").select(
-        "doc_id", "h", F.coalesce("root", "h").alias("root")
-    )
-    return one_each(docs, placed)
+    placed = texts.select("h", "digest").join(roots, F.col("h") == F.col("node"), "left").select("h", "digest", F.coalesce("root", "h").alias("root"))
+    return one_each(docs, rows.select("doc_id", "h", "digest"), placed)

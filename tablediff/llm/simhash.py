@@ -137,20 +137,30 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
     Only rows of the same group go, whatever doc_id they share or lack.
     """
-    h = F.xxhash64(F.col("text").cast("string"))
-    groups = simhash_groups(docs.select(h.alias("doc_id"), "text"), **options)
-    groups = groups.select(F.col("doc_id").alias("h"), F.col("component_id").alias("root")).distinct()
-    return one_each(docs, docs.select(F.col("doc_id").cast("long"), h.alias("h")).join(groups, "h"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), F.unhex(F.md5(text)).alias("digest"))
+    groups = simhash_groups(docs.select(F.xxhash64(text).alias("doc_id"), "text"), **options)
+    groups = groups.select(F.col("doc_id").alias("h"), F.col("component_id").alias("root")).dropDuplicates(["h"])
+    return one_each(docs, rows, rows.groupBy("h").agg(F.min("digest").alias("digest")).join(groups, "h"))
 
 
-def one_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The row of `docs` with the least doc_id (null last), then text hash, for each root of `placed` (doc_id, h, root).
+def one_each(docs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The row of `docs` with the least doc_id (null last), then text hash, for each root.
 
-    Rows that share doc_id and text give one of them. Columns of any name are kept.
+    `rows` has doc_id, h and digest (64 and 128 bits of the text) of each row of
+    docs; `texts` has h, digest and root, one row for each h. A text whose digest
+    is not that of its h is another text with the same 64 bits, and a group of
+    its own. Rows that share doc_id and text give one of them. Columns of any
+    name are kept.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    ids = placed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("key"))
+    owner = texts.select("h", F.col("digest").alias("own"), "root")
+    placed = rows.join(owner, "h").withColumn("odd", F.when(F.col("digest") != F.col("own"), F.col("digest")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "digest")).alias("first")
+    ids = placed.groupBy("root", "odd").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("key"), F.col("first.digest").alias("mark"))
     names = [f"c{k}" for k in range(len(docs.columns))]
-    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["doc_id"].cast("long").alias("i"), F.xxhash64(docs["text"].cast("string")).alias("h"))
-    kept = keyed.join(ids, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")), "left_semi")
-    return kept.dropDuplicates(["i", "h"]).select(*names).toDF(*docs.columns)
+    text = docs["text"].cast("string")
+    keyed = docs.select(
+        *[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["doc_id"].cast("long").alias("i"), F.xxhash64(text).alias("h"), F.unhex(F.md5(text)).alias("digest")
+    )
+    same = F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")) & F.col("digest").eqNullSafe(F.col("mark"))
+    return keyed.join(ids, same, "left_semi").dropDuplicates(["i", "h", "digest"]).select(*names).toDF(*docs.columns)

@@ -76,3 +76,29 @@ def test_rows_that_share_a_doc_id_or_have_none(spark):
     df = spark.createDataFrame([*rows, rows[0], rows[4]], "doc_id long, text string")
     out = [tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(out, key=str) == sorted(rows, key=str)
+
+
+def test_signatures_tell_pairs_apart():
+    """Pairs of the similarity are never passed over by their minima; most others are."""
+    import numpy as np
+
+    from tablediff.llm import minhash
+
+    rnd, by, least = np.random.default_rng(5), minhash.multipliers(42), minhash.fewest_shared(0.8)
+    shared = lambda a, b: (np.frombuffer(minhash.signature(minhash.minima(a, by)), "<u2") == np.frombuffer(minhash.signature(minhash.minima(b, by)), "<u2")).sum()
+    for n in (10, 90, 450):
+        for _ in range(40):
+            hashes = rnd.integers(0, 2**64, 2 * n, np.uint64)
+            k = n - 2 * n // 18  # k of n + (n - k) are shared: 8/10
+            assert shared(hashes[:n], np.concatenate([hashes[:k], hashes[n : 2 * n - k]])) >= least
+            assert shared(hashes[:n], hashes[n // 2 :][:n]) < least
+
+
+def test_equal_hashes_of_other_texts(spark):
+    """Texts that share 64 bits of a hash but not 128 are no copies."""
+    from tablediff.llm.simhash import one_each
+
+    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, text string")
+    rows = df.selectExpr("doc_id", "xxhash64(text) AS h", "unhex(md5(text)) AS digest")
+    texts = rows.where("doc_id < 3").selectExpr("h", "IF(doc_id = 2, unhex(md5('else')), digest) AS digest", "7L AS root")
+    assert sorted(r.doc_id for r in one_each(df, rows, texts).collect()) == [1, 2]
