@@ -6,8 +6,10 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -26,6 +28,8 @@ BLOCK, FAN = 4, 64
 SLACK = 1e-9
 #: Words that question and answer are compared in.
 GRAM = 3
+#: Items of up to so many words are looked for in passages of one size; longer ones in passages of the next size, WIDER times as long, and so on.
+SHORT, WIDER = 64, 4
 
 
 def terms(text: str | None) -> list[str]:
@@ -55,21 +59,30 @@ class Item:
 
 @dataclass
 class Statistics:
-    """What BM25 weights need of all items: their number, mean length and longest, and in how many a term occurs."""
+    """What BM25 weights need of all items: their number, mean length, and in how many a term occurs."""
 
     n: int
     mean: float
-    longest: int
     df: dict[str, int]
 
     @classmethod
     def of(cls, texts: list[list[str]]) -> Statistics:
         sizes = [len(t) for t in texts]
-        return cls(len(texts), sum(sizes) / max(1, len(texts)), max(sizes, default=1), Counter(w for t in texts for w in set(t)))
+        return cls(len(texts), sum(sizes) / max(1, len(texts)), Counter(w for t in texts for w in set(t)))
+
+
+def reach(n_words: int) -> int:
+    """The length of the class of an item, by its own words alone."""
+    size = SHORT
+    while size < n_words:
+        size *= WIDER
+    return size
 
 
 class Index:
-    """BM25 weights of the terms of items, each divided by its item's score for itself, so 1 is the most.
+    """Items of one class of lengths, which are looked for in passages of twice that length.
+
+    BM25 weights of the terms of items, each divided by its item's score for itself, so 1 is the most.
 
     Items are numbered and lie in blocks of BLOCK, FAN of which make a block of
     the next level, up to one. A term has its postings in order of the item, and
@@ -100,7 +113,8 @@ class Index:
         while not self.levels or size < len(rows):
             self.levels.append({w: self._largest(p, size) for w, p in postings.items()})
             size *= FAN
-        self.window, self.stride = 2 * known.longest, known.longest
+        self.stride = max((reach(i.n_words) for i in self.items), default=SHORT)
+        self.window = 2 * self.stride
 
     @staticmethod
     def _largest(postings: list[tuple[int, float]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +187,11 @@ class Index:
                     c[1] = bisect_left(docs, item, c[1])
                     c[0] = docs[c[1]] if c[1] < len(docs) else end
 
-    def found(self, text: str | None, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
-        """For each item that a passage of the text holds: the largest score, and the overlaps of that passage.
+    def found(self, words: list[str], threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+        """For each item that a passage of a text's words holds: the largest score, and the overlaps of that passage.
 
         Passages overlap by half, so that each item of the index fits one whole.
         """
-        words = terms(text)
         out: dict[int, tuple[float, float, float]] = {}
         known = self.docs.keys()
         for at in range(0, max(1, len(words) - self.stride), self.stride):
@@ -196,22 +209,41 @@ class Index:
         return sum(g in grams[len(g)] for g in part) / len(part) if part else 1.0
 
 
-def indexes(benchmark: DataFrame, shard_bytes: int = 4 << 20) -> Iterator[Index]:
-    """Indexes of all items of `benchmark` (item_id, text), each of about `shard_bytes` of text.
+class Shard:
+    """Items of all lengths: an index for each class of them. What is found of an item depends on no other one but by the statistics."""
+
+    def __init__(self, rows: list[tuple[int | None, str]], known: Statistics | None = None):
+        rows = [(i, t) for i, t in rows if terms(t)]
+        known = known or Statistics.of([terms(t) for _, t in rows])
+        classes: dict[int, list] = defaultdict(list)
+        for row in rows:
+            classes[reach(len(terms(row[1])))].append(row)
+        self.indexes = [Index(classes[n], known) for n in sorted(classes)]
+
+    def found(self, text: str | None, threshold: float, overlap: float) -> Iterator[tuple[int | None, float, float, float]]:
+        """(item_id, score, question, answer) of each item in the text."""
+        words = terms(text)
+        for index in self.indexes:
+            for k, values in index.found(words, threshold, overlap).items():
+                yield index.items[k].item_id, *values
+
+
+def shards(benchmark: DataFrame, shard_bytes: int = 4 << 20) -> Iterator[Shard]:
+    """Shards of all items of `benchmark` (item_id, text), each of about `shard_bytes` of text.
 
     The number follows from the size of the table, so that what is broadcast is
-    bounded; documents are read once for each index. All have the statistics of
+    bounded; documents are read once for each shard. All have the statistics of
     the whole table, so its size changes no score. An item longer than
-    `shard_bytes` has an index of its own size. Items without words, null ones
+    `shard_bytes` has a shard of its own size. Items without words, null ones
     too, are never found; repeated rows count once; an empty table gives one
-    index of nothing.
+    shard of nothing.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
+    n_shards = max(1, -(-size // shard_bytes))
     rows = lambda part: sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    if shards == 1:
-        yield Index(rows(items))
+    if n_shards == 1:
+        yield Shard(rows(items))
         return
 
     def split(batches):
@@ -222,63 +254,75 @@ def indexes(benchmark: DataFrame, shard_bytes: int = 4 << 20) -> Iterator[Index]
             )
 
     cut = lambda part: part.mapInArrow(split, "n long, terms array<string>")
-    n, mean, longest = cut(items).where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n, mean = cut(items).where("n > 0").agg(F.count("*"), F.avg("n")).first()
     df = stash(cut(items).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+    for k in range(n_shards):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == k)
         own = cut(part).select(F.explode("terms").alias("term")).distinct()
-        yield Index(rows(part), Statistics(n, mean, longest, {r["term"]: r["df"] for r in df.join(own, "term", "left_semi").collect()}))
+        yield Shard(rows(part), Statistics(n, mean, {r["term"]: r["df"] for r in df.join(own, "term", "left_semi").collect()}))
+
 
+def searched(rows: DataFrame, parts: Iterator[Shard], search: Callable, schema: str) -> DataFrame:
+    """search(shard, batches) over `rows` for every shard.
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> DataFrame:
+    A single shard's result is a plan as any other. Of several, each one's is
+    written before the next is broadcast, so that tasks hold one at a time.
+    """
+    out, several = [], False
+    for shard, ahead in pairwise(chain(parts, [None])):
+        shared = rows.sparkSession.sparkContext.broadcast(shard)
+        found = rows.mapInArrow(lambda batches, shared=shared: search(shared.value, batches), schema)
+        if ahead is None and not several:
+            return found
+        several = True
+        out.append(stash(found, "found"))
+        shared.destroy()
+    return reduce(DataFrame.union, out)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_bytes: int = 4 << 20) -> DataFrame:
     """Which items of `benchmark` stand in which of `docs` (doc_id, text; other columns are ignored).
 
     A passage holds an item if its BM25 score is at least `threshold` of the
     item's score for itself, and at least `overlap` of the word triples of the
     item's question and of its answer occur in the passage. Case and marks do
-    not count. Every passage of every whole text is tried; null and empty texts
-    hold nothing. Returns one row for each document and item: doc_id, item_id,
-    score, question_overlap, answer_overlap; repeated rows give repeated rows.
+    not count. Every passage of every whole text is tried, in sizes that follow
+    from the item's own length; null and empty texts hold nothing. Returns one
+    row for each document and item: doc_id, item_id, score, question_overlap,
+    answer_overlap; repeated rows give repeated rows.
     """
-    session, out = docs.sparkSession, None
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+    def search(shard, batches):
+        for batch in slices(batches):
+            found = [(i, *x) for i, text in zip(*(c.to_pylist() for c in batch.columns)) for x in shard.found(text, threshold, overlap)]
+            columns = list(zip(*found)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    for index in indexes(benchmark):
-        shared = session.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in slices(batches):
-                found = [
-                    (i, index.items[k].item_id, *values)
-                    for i, text in zip(*(c.to_pylist() for c in batch.columns))
-                    for k, values in index.found(text, threshold, overlap).items()
-                ]
-                columns = list(zip(*found)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-                )
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> DataFrame:
-    """The rows of `docs` (text; all columns are kept) whose text holds no item of `benchmark`, as contaminated() finds them.
+    return searched(rows, shards(benchmark, shard_bytes), search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of `docs` (text; all columns of any name are kept) whose text holds no item of `benchmark`, as contaminated() finds them.
 
     Null and empty texts stay, repeated rows stay or go together, and an empty
-    table of documents or items gives the documents as they are.
+    table of documents or items gives the documents as they are. Texts are told
+    by 128 bits of a hash; those that hold an item are few, and go by a join.
     """
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in slices(batches):
-                texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
-                yield batch.filter(pa.array([not index.found(t, threshold, overlap) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def clean(shard, batches, column, keep):
+        for batch in slices(batches):
+            texts = batch.column(column).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([(next(iter(shard.found(t, threshold, overlap)), None) is None) == keep for t in texts], pa.bool_()))
+
+    parts = shards(benchmark, shard_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        place = docs.columns.index("text")
+        return searched(docs, iter([first]), lambda shard, batches: clean(shard, batches, place, True), docs.schema)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], F.unhex(F.md5(docs["text"].cast("string"))).alias("digest"))
+    rows = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("digest"), F.col("text").cast("string").alias("text"))
+    found = searched(rows, chain([first, second], parts), lambda shard, batches: clean(shard, batches, 1, False), "digest binary, text string")
+    return keyed.join(found.select("digest").distinct(), "digest", "left_anti").select(*names).toDF(*docs.columns)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tablediff.llm.decontaminate import Index, contaminated, decontaminated, indexes, terms
+from tablediff.llm.decontaminate import Index, Shard, contaminated, decontaminated, shards, terms
 
 from .cases import DOCS_SCHEMA, docs
 
@@ -58,12 +58,12 @@ def test_shards_score_alike(spark):
     known = items(rnd, 80)
     texts = [" ".join(words(rnd, 60)) + " " + known[rnd.randrange(80)][1][rnd.randrange(40) :] for _ in range(150)]
     df, bench = docs(spark, *texts), spark.createDataFrame([(*r, 1) for r in known], ITEMS)
-    alone = [Index(known)]
-    several = list(indexes(bench, shard_bytes=2000))
+    alone = [Shard(known)]
+    several = list(shards(bench, shard_bytes=2000))
     assert len(several) > 3
     for r in df.collect():
         found = [
-            {x.items[k].item_id: tuple(round(v, 9) for v in values) for x in some for k, values in x.found(r.text, 0.4, 0.3).items()} for some in (alone, several)
+            {i: tuple(round(v, 9) for v in values) for x in some for i, *values in x.found(r.text, 0.4, 0.3)} for some in (alone, several)
         ]
         assert found[0] == found[1]
 
@@ -86,7 +86,31 @@ def test_planted_items(spark):
     kept = decontaminated(df, bench)
     assert kept.columns == df.columns
     assert kept.count() == df.count() - len({i for i, _ in planted})
-    assert sum(len(x.items) for x in indexes(bench, shard_bytes=300)) == len(known) + 1
+    assert sum(len(x.items) for s in shards(bench, shard_bytes=300) for x in s.indexes) == len(known) + 1
+    several = contaminated(df, bench, shard_bytes=2000)
+    assert sorted(map(tuple, several.collect())) == sorted(map(tuple, got))
+    assert "MapInArrow" not in several._jdf.queryExecution().toString()  # written, one shard after the other
+    left = decontaminated(df, bench, shard_bytes=2000)
+    assert left.columns == df.columns and sorted(map(str, left.collect())) == sorted(map(str, kept.collect()))
+    assert "MapInArrow" not in left._jdf.queryExecution().toString()
+
+
+def test_a_long_item_changes_nothing_for_others(spark):
+    """Words that stand far apart hold no short item, however long another item is."""
+    rnd = random.Random(21)
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa. The answer is lambda mu nu."
+    filler = lambda n: [f"f{rnd.randrange(10**6)}" for _ in range(n)]
+    spread = " ".join(w for three in ("alpha beta gamma delta epsilon", "zeta eta theta iota kappa", "The answer is lambda mu nu") for w in [three, *filler(300)])
+    other = " ".join(f"o{k}" for k in range(5000)) + ". It is so."
+    df = docs(spark, spread, f"{' '.join(filler(200))} {item} {' '.join(filler(200))}", f"before {other} after", extra=False)
+    for known, expected in (([(1, item)], {(1, 1)}), ([(1, item), (2, other)], {(1, 1), (2, 2)})):
+        bench = spark.createDataFrame(known, "item_id long, text string")
+        got = contaminated(df, bench, threshold=0.3, overlap=0.3).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == expected
+    lengths = [(n, " ".join(f"x{n}y{k}" for k in range(n)) + ".") for n in (1, 2, 63, 64, 65, 255, 256, 257, 1025, 4000)]
+    texts = docs(spark, *[" ".join([*filler(rnd.randrange(500)), t, *filler(50)]) for _, t in lengths], extra=False)
+    got = contaminated(texts, spark.createDataFrame(lengths, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(k, n) for k, (n, _) in enumerate(lengths)}
 
 
 def test_empty(spark):
