@@ -58,33 +58,51 @@ def compare_columns(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.sparkSession.createDataFrame(rows, schema)
 
 
-def _text(c: Column, kind: T.DataType) -> Column:
-    """A value as text that is equal just for equal values; null for null."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
-        return c.cast("string")
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.struct(c.alias("v")))
-    return F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+def _cell(c: Column, kind: T.DataType) -> Column:
+    """A value in at most 16 bytes that are equal just for equal values; null for null.
+
+    Whole numbers, dates and truth values are their own digits. What is longer as
+    text is represented by 128 bits of a hash.
+    """
+    match kind:
+        case T.BooleanType() | T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType():
+            return F.unhex(F.hex(c.cast("long")))
+        case T.DateType():
+            return F.unhex(F.hex(F.unix_date(c).cast("long")))
+        case T.DoubleType() | T.FloatType():
+            text = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).cast("string")
+        case T.ArrayType() | T.MapType() | T.StructType():
+            text = F.to_json(F.struct(c.alias("v")))
+        case T.BinaryType():
+            text = F.base64(c)
+        case _:
+            text = c.cast("string")
+    return F.when(F.octet_length(text) < 16, F.encode(text, "utf-8")).otherwise(F.unhex(F.md5(text)))
 
 
 def _distinct(x: DataFrame, y: DataFrame | None, place: dict[int, int]) -> dict[int, tuple[int, int, int]]:
-    """For each column's number: distinct values in x, in y, and in both. Columns of y are numbered by `place`."""
+    """For each column's number: distinct values in x, in y, and in both. Columns of y are numbered by `place`.
+
+    Every cell is at most 16 bytes and its column's number before it is shuffled,
+    and each different one of a task is shuffled once.
+    """
+    kinds: dict[str, int] = {}
 
-    def values(df: DataFrame, number: dict[int, int], side: str) -> DataFrame:
+    def values(df: DataFrame, number: dict[int, int], side: int) -> DataFrame:
         inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         cells = [
-            F.struct(F.lit(number[i]).alias("at"), F.lit(col_type(f.dataType)).alias("kind"), _text(F.col(f"c{i}"), f.dataType).alias("value"))
+            F.struct(F.lit(number[i]).alias("at"), F.lit(kinds.setdefault(col_type(f.dataType), len(kinds))).alias("kind"), _cell(F.col(f"c{i}"), f.dataType).alias("value"))
             for i, f in enumerate(df.schema)
         ]
         return inner.select(F.explode(F.array(*cells)).alias("c")).select("c.*", F.lit(side).alias("side"))
 
-    cells = values(x, {i: i for i in range(len(x.columns))}, "x")
+    cells = values(x, {i: i for i in range(len(x.columns))}, 1)
     numbers = range(len(x.columns))
     if y is not None:
-        cells = cells.union(values(y, place, "y"))
+        cells = cells.union(values(y, place, 2))
         numbers = range(max([len(x.columns), *(v + 1 for v in place.values())]))
-    each = cells.groupBy("at", "kind", "value").agg(F.max((F.col("side") == "x").cast("int")).alias("x"), F.max((F.col("side") == "y").cast("int")).alias("y"))
-    rows = each.groupBy("at").agg(F.sum("x"), F.sum("y"), F.sum(F.col("x") * F.col("y"))).collect()  # one for each column
+    each = cells.groupBy("at", "kind", "value").agg(F.bit_or("side").alias("in"))
+    of = lambda side: F.count_if(F.col("in").bitwiseAND(F.lit(side)) == side)
+    rows = each.groupBy("at").agg(of(1), of(2), of(3)).collect()  # one for each column
     found = {r[0]: (r[1], r[2], r[3]) for r in rows}
     return {i: found.get(i, (0, 0, 0)) for i in numbers}

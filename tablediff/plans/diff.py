@@ -18,7 +18,7 @@ from ..functions.cast import Cast, Truncation
 from ..functions.classify import relative, same_value, status
 from ..functions.names import Name, canonical_name, check_names, name_map
 from ..functions.types import CAST_TYPES, MEASURE_TYPES, SPARK_TYPES, col_type
-from ..operators.keys import dry_run, folded, multiset, same_keys
+from ..operators.keys import counted, dry_run, folded, multiset, same_keys
 from ..operators.measures import select_measures, unpivot
 from ..operators.rows import numbered, occurrence, virtual_key
 
@@ -119,6 +119,7 @@ def diff_table(
     nan_is_na: bool = True,
     date_format: str = "%Y-%m-%d",
     order_by: list[str] | None = None,
+    multisets: str = "text",
 ) -> DiffResult:
     """Compares two tables value by value.
 
@@ -135,6 +136,9 @@ def diff_table(
     truncate: lets a cast drop fractions and times of day, and records it.
     nan_is_na: NaN and null are the same.
     order_by: the order of the rows, which numbers them; else that of arrival.
+    multisets: how value_key_x and value_key_y hold the values of a key: as `text`,
+        or as `counts`, an array of values and how often each occurs, which stays
+        small for a key of very many rows with few different values.
 
     Tables are joined wide, in one shuffle of each by the identity, and measures
     become rows after the join. Up to three small jobs run before: what a cast
@@ -147,6 +151,7 @@ def diff_table(
     _choice("mode", mode, ("benchmark", "equal"))
     _choice("row_key", row_key, ("none", "position", "sorted"))
     _choice("duplicates", duplicates, ("disambiguate", "aggregate", "error"))
+    _choice("multisets", multisets, ("text", "counts"))
     for name, v in (("tolerance", tolerance), ("rel_tol", rel_tol)):
         if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v < 0:
             raise InputError(f"{name}={v!r}: expected a finite number of 0 or more")
@@ -273,7 +278,7 @@ def diff_table(
 
     taken = {i.lower() for i in ids if i != "row_number"}
     columns = {c: c + "_" if c in taken else c for c in OWN}
-    df, shape = _classified(wx, wy, keys, ids, values, chosen, columns, duplicates == "aggregate", paired, tolerance, rel_tol, nan_is_na)
+    df, shape = _classified(wx, wy, keys, ids, values, chosen, columns, duplicates == "aggregate" and multisets, paired, tolerance, rel_tol, nan_is_na)
     return DiffResult(
         df, shape, [columns.get(i, i) if i == "row_number" else i for i in ids], chosen, mode, float(tolerance), float(rel_tol), pairs, columns, paired,
         [n.name for n in only_y], [label_x[c] for c in ignored], truncated, notes, lost_rows,
@@ -317,7 +322,7 @@ def _repeats(wx: DataFrame, wy: DataFrame, keys: list[str], ids: list[str]) -> D
 def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, tolerance, rel_tol, nan_is_na) -> tuple[DataFrame, str]:
     """Joins the wide tables and gives every value its status."""
     if aggregate:
-        return _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na), "groups"
+        return _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na, multiset if aggregate == "text" else counted), "groups"
     on = [*keys, "__seq"] if paired else keys
     a = wx.toDF(*[f"{c}_x" for c in wx.columns])
     b = wy.toDF(*[f"{c}_y" for c in wy.columns])
@@ -344,13 +349,13 @@ def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, t
     return out, "cells"
 
 
-def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na) -> DataFrame:
+def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na, held) -> DataFrame:
     """A row for each key and measure: how many rows each side has, and whether their values are the same in any order.
 
     Both sides are counted by key and value in one aggregation, which shrinks
     them before they are shuffled, so a key in very many rows takes as little as
     one in few. Only value_key_x and value_key_y hold the values themselves;
-    where they are not asked for, they are not made.
+    where they are not asked for, they are not made. `held` makes them.
     """
     own = columns
     sides = [w.select(*keys, *values, F.lit(x).alias("__nx"), F.lit(1 - x).alias("__ny")) for w, x in ((wx, 1), (wy, 0))]
@@ -368,7 +373,7 @@ def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na) -> DataFra
     empty = v.isNull() | F.isnan(v)
     groups = each.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col("metric").alias("__m")).agg(
         some(nx).alias("__x"), some(ny).alias("__y"), F.sum(F.when(empty, nx).otherwise(0)).alias("__ex"), F.sum(F.when(empty, ny).otherwise(0)).alias("__ey"),
-        F.max(nx != ny).alias("__off"), multiset(v, nx).alias("__kx"), multiset(v, ny).alias("__ky"),
+        F.max(nx != ny).alias("__off"), held(v, nx).alias("__kx"), held(v, ny).alias("__ky"),
     )
     x, y = F.col("__x"), F.col("__y")
     return groups.select(

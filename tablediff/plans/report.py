@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError
 from ..functions.cast import Truncation
-from ..operators.summary import check_result, diff_summary, ordinal
+from ..functions.classify import finite_pair
+from ..operators.summary import check_result
+from ..sources.workspace import stash
 from .diff import DiffResult
 
 
@@ -127,11 +129,54 @@ def kept(d: DiffResult) -> Iterator[None]:
         d.df.unpersist()
 
 
+#: What a row of facts() is about: a compared row, a measure, a change of a measure, a one-sided key.
+ROW, MEASURE, CHANGE, ONE_SIDED = range(4)
+
+
+def facts(d: DiffResult) -> DataFrame:
+    """All that a report says, from one pass over the result, in which every value counts for its row, its measure and its change.
+
+    These are grouping sets of one aggregation, partial before its shuffle. The
+    result has a row for each compared row, measure, different change and
+    one-sided key, with the counts and sizes that belong to it.
+    """
+    in_x, in_y = _present(d)
+    status, cells = d.own("status"), d.shape == "cells"
+    changed, none = status == "changed", F.lit(None)
+    key, ids = F.struct(*[F.col(k) for k in _row_keys(d)]), F.struct(*[F.col(i) for i in d.ids])
+    metric = d.own("metric") if d.measures else none.cast("string")
+    x, y = (d.own("value_x"), d.own("value_y")) if cells else (none.cast("double"), none.cast("double"))
+
+    def fact(kind: int, key: Column, ids: Column, side: Column, metric: Column, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), ids.alias("ids"), side.alias("side"), metric.alias("metric"), x.alias("vx"), y.alias("vy"))
+
+    no_key, no_ids, no_text, no_value = F.when(F.lit(False), key), F.when(F.lit(False), ids), none.cast("string"), none.cast("double")
+    sets = [fact(ROW, key, no_ids, no_text, no_text, no_value, no_value)]
+    # A row is on one side only if none of its values is on both; all values of a row are on the same sides.
+    sets.append(F.when(~in_x | ~in_y, fact(ONE_SIDED, no_key, ids, F.when(in_x, "x").otherwise("y"), no_text, no_value, no_value)))
+    if d.measures:
+        sets.append(fact(MEASURE, no_key, no_ids, no_text, metric, no_value, no_value))
+    if cells:
+        sets.append(F.when(changed, fact(CHANGE, no_key, no_ids, no_text, metric, x, y)))
+        at = F.coalesce(d.own("row_id_x"), d.own("row_id_y"))
+        pair = finite_pair(x, y)
+        abs_diff, size, rel = d.own("abs_diff"), F.when(pair, d.own("abs_diff")), F.when(pair, d.own("rel_diff"))
+    else:
+        at, (abs_diff, size, rel) = none.cast("long"), [no_value] * 3
+    flags = [in_x.alias("x"), in_y.alias("y"), changed.alias("c"), status.alias("s"), abs_diff.alias("abs"), size.alias("size"), rel.alias("rel"), at.alias("at"), ids.alias("id")]
+    each = d.df.select(F.explode(F.array_compact(F.array(*sets))).alias("f"), *flags).select("f.*", *[F.col(n) for n in ("x", "y", "c", "s", "abs", "size", "rel", "at", "id")])
+    first = F.min(F.when(F.col("kind") == CHANGE, F.struct("at", "id")))
+    return each.groupBy("kind", "key", "ids", "side", "metric", "vx", "vy").agg(
+        F.count("*").alias("n"), F.count_if(F.col("s") == "same").alias("n_same"), F.count_if("c").alias("n_changed"), F.max("x").alias("x"), F.max("y").alias("y"),
+        F.max("c").alias("c"), F.first("abs").alias("abs"), F.max("size").alias("max_abs"), F.max("rel").alias("max_rel"), first["id"].alias("example"),
+    )
+
+
 def diff_report(d: DiffResult, x_name: str = "x", y_name: str = "y", top_k: int = 3, sample_k: int = 5) -> DiffReport:
     """Counts of rows, sizes of the differences by measure, the most frequent changes, and samples of one-sided keys.
 
-    Runs a few small jobs over the result, which is kept for their time unless
-    it is persisted already.
+    Reads the result once (see facts()); what is left is written to the shared
+    folder, and two small queries count it and take the first few of it.
     """
     check_result(d)
     if not all(isinstance(n, str) and n for n in (x_name, y_name)):
@@ -139,35 +184,47 @@ def diff_report(d: DiffResult, x_name: str = "x", y_name: str = "y", top_k: int
     for name, v in (("top_k", top_k), ("sample_k", sample_k)):
         if isinstance(v, bool) or not isinstance(v, int) or v < 0:
             raise InputError(f"`{name}` must be a whole number >= 0")
-    with kept(d):
-        return _report(d, x_name, y_name, top_k, sample_k)
-
-
-def _report(d: DiffResult, x_name: str, y_name: str, top_k: int, sample_k: int) -> DiffReport:
     label = {c: d.label(c) for c in [*d.ids, *d.measures]}
-    rows = RowCounts(**{k: v or 0 for k, v in row_counts(d).first().asDict().items()})
-    by_measure, changes = [], []
-    if d.measures:
-        for r in diff_summary(d).collect():  # one for each measure
-            joined = r["n_same"] + r["n_changed"]
-            by_measure.append({
-                "measure": label[r["metric"]], "n_same": r["n_same"], "n_changed": r["n_changed"],
-                "match_rate": r["n_same"] / joined if joined else None,
-            } | ({"max_abs_diff": r["max_abs_diff"], "max_rel_diff": r["max_rel_diff"]} if d.shape == "cells" else {}))
-        if d.shape == "cells":
-            top = top_changes(d, max(top_k, 1)).orderBy(ordinal(F.col("metric"), d.measures), "place").collect()
-            distinct = {label[r["metric"]]: r["n_distinct"] for r in top}
-            for m in by_measure:
-                m["n_distinct_changes"] = distinct.get(m["measure"], 0)
-            changes = [
-                {"measure": label[r["metric"]], "value_x": r["value_x"], "value_y": r["value_y"], "n": r["n"], "example": tuple(r["example"])}
-                for r in top
-                if r["place"] <= top_k
-            ]
-    sample = lambda side: [tuple(r) for r in one_sided(d, side, sample_k).collect()] if sample_k else []
+    known = stash(facts(d), "facts")
+
+    # Some numbers for each kind and measure.
+    x, y, c = F.col("x"), F.col("y"), F.col("c")
+    counts = {
+        (r["kind"], r["metric"]): r.asDict()
+        for r in known.groupBy("kind", "metric").agg(
+            F.count("*").alias("n"), F.sum("n_same").alias("n_same"), F.sum("n_changed").alias("n_changed"), F.max("max_abs").alias("max_abs"), F.max("max_rel").alias("max_rel"),
+            F.count_if(x).alias("rows_x"), F.count_if(y).alias("rows_y"), F.count_if(x & ~y).alias("only_x"), F.count_if(y & ~x).alias("only_y"),
+            F.count_if(x & y & ~c).alias("same"), F.count_if(x & y & c).alias("changed"),
+        ).collect()
+    }
+    total = counts.get((ROW, None), {})
+    rows = RowCounts(*(total.get(k, 0) for k in ("rows_x", "rows_y", "only_x", "same", "changed", "only_y")))
     equal = rows.n_only_x == rows.n_only_y == rows.n_changed == 0
+
+    # The first of each kind, measure and side: the most frequent changes, and keys in their order. Each task sorts out its own first ones.
+    top, keys = [], {"x": [], "y": []}
+    if not equal and top_k + sample_k:
+        change = F.col("kind") == CHANGE
+        order = Window.partitionBy("kind", "metric", "side").orderBy(F.when(change, -F.col("n")), F.when(change, -F.col("abs")).asc_nulls_last(), "vx", "vy", "ids")
+        most = F.when(change, top_k).otherwise(sample_k)
+        first = known.where(F.col("kind").isin(CHANGE, ONE_SIDED)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(top_k, sample_k)).where(F.col("place") <= most)
+        for r in sorted(first.collect(), key=lambda r: r["place"]):
+            if r["kind"] == CHANGE:
+                top.append(r)
+            else:
+                keys[r["side"]].append(tuple(r["ids"]))
+    by_measure = []
+    for m in d.measures:
+        if r := counts.get((MEASURE, m)):
+            joined = r["n_same"] + r["n_changed"]
+            by_measure.append({"measure": label[m], "n_same": r["n_same"], "n_changed": r["n_changed"], "match_rate": r["n_same"] / joined if joined else None})
+            if d.shape == "cells":
+                by_measure[-1] |= {"max_abs_diff": r["max_abs"], "max_rel_diff": r["max_rel"], "n_distinct_changes": counts.get((CHANGE, m), {}).get("n", 0)}
+    changes = [
+        {"measure": label[r["metric"]], "value_x": r["vx"], "value_y": r["vy"], "n": r["n"], "example": tuple(r["example"])}
+        for r in sorted(top, key=lambda r: (d.measures.index(r["metric"]), r["place"]))
+    ]
     return DiffReport(
         x_name, y_name, d.mode, d.shape, "keys" if d.shape == "groups" else "rows", [label[i] for i in d.ids], [label[m] for m in d.measures],
-        d.paired, d.tolerance, d.rel_tol, d.dropped, d.ignored, d.truncated, rows, by_measure, changes,
-        sample("x") if rows.n_only_x else [], sample("y") if rows.n_only_y else [], top_k, equal,
+        d.paired, d.tolerance, d.rel_tol, d.dropped, d.ignored, d.truncated, rows, by_measure, changes, keys["x"], keys["y"], top_k, equal,
     )

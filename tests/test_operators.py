@@ -44,6 +44,8 @@ def test_aggregates(spark):
     exact = {r.k: r.value_key for r in td.aggregate_by_key(df, ["k"], stats="exact").collect()}
     assert exact == {1: "0x1.8p+1|0x1p+0|NA", 2: "NA|NA"}
     assert {r.k: r.value_key for r in td.aggregate_by_key(df, ["k"], stats="exact", nan_is_na=False).collect()}[2] == "NA|NaN"
+    counts = {r.k: [tuple(c) for c in r.value_counts] for r in td.aggregate_by_key(df, ["k"], stats="counts").collect()}
+    assert counts == {1: [(None, 1), (1.0, 1), (3.0, 1)], 2: [(None, 2)]}
     assert td.aggregate_by_key(df.drop("value"), ["k"]).columns == ["k", "metric", "n_rows"]
     assert [tuple(r) for r in td.duplicate_keys(df, ["k"]).collect()] == [(1, "a", 3), (2, "a", 2)]
     with pytest.raises(td.KeysError):
@@ -183,3 +185,24 @@ def test_measures_that_are_none(spark):
     for wrong in ([], None, [1]):
         with pytest.raises(td.MeasuresError):
             select_measures(types, wrong)
+
+
+def test_a_hot_key_as_a_small_multiset(spark):
+    x = spark.range(100_000).select(F.lit("k").alias("id"), (F.col("id") % 3).cast("double").alias("v"))
+    y = x.union(spark.createDataFrame([("k", 2.0), ("k", None)], x.schema))
+    row = td.diff_table(x, y, duplicates="aggregate", multisets="counts").df.first()
+    assert [tuple(c) for c in row.value_key_x] == [(0.0, 33334), (1.0, 33333), (2.0, 33333)] and row.status == "changed"
+    assert [tuple(c) for c in row.value_key_y] == [(None, 1), (0.0, 33334), (1.0, 33333), (2.0, 33334)]
+
+
+def test_cells_of_columns_are_small(spark):
+    from tablediff.operators.columns import _cell
+
+    long = "é" * 500
+    rows = [(True, 1, 2**40, 1.5, long, "short", b"x" * 90, [1, 2], 0.0), (False, -1, -1, NAN, long + "!", "", b"", [], -0.0), (None,) * 9]
+    df = spark.createDataFrame(rows, "b boolean, i int, l long, d double, t string, s string, y binary, a array<int>, z double")
+    cells = df.select(*[_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).collect()
+    assert all(cells[2][c] is None for c in df.columns if c != "a") and all(len(v) <= 16 for r in cells[:2] for v in r)
+    assert {f: cells[0][f] != cells[1][f] for f in df.columns} == {f: f != "z" for f in df.columns}
+    counts = {r.colname: r.n_unique for r in td.summarize_columns(df).collect()}
+    assert counts == {c.upper(): 2 if c == "z" else 3 for c in df.columns}

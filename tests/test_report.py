@@ -99,3 +99,48 @@ def test_assertion(spark, pair):
     td.assert_table_equal(x.union(x), x.union(x), duplicates="aggregate")
     with pytest.raises(td.InputError):
         td.assert_table_equal(x, x, max_rows=-1)
+
+
+def test_one_pass_and_few_jobs(spark):
+    """The result is read once; what the report says is what the operators of its parts say."""
+    from tablediff.plans.report import one_sided, row_counts, top_changes
+
+    x = spark.range(2000).selectExpr("CAST(id AS int) AS id", "CAST(id % 7 AS double) AS a", "CAST(IF(id % 5 = 0, NULL, id) AS double) AS b", "IF(id % 3 = 0, NULL, 'g') AS g")
+    y = spark.range(100, 2300).selectExpr("CAST(id AS int) AS id", "CAST(IF(id % 10 = 0, 99, id % 7) AS double) AS a", "CAST(id AS double) AS b", "IF(id % 3 = 0, NULL, 'g') AS g")
+    d = td.diff_table(x, y, by=["id", "g"])
+    d.df.persist().count()
+    spark.sparkContext.setJobGroup("report", "report")
+    r = d.report(top_k=4, sample_k=6)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("report")) <= 6  # three queries, each with one shuffle
+    counts = row_counts(d).first()
+    assert (r.rows.n_x, r.rows.n_y, r.rows.n_only_x, r.rows.n_same, r.rows.n_changed, r.rows.n_only_y) == tuple(counts)
+    top = {(t.metric, t.place): t for t in top_changes(d, 4).collect()}
+    assert [(c["measure"].upper(), c["value_x"], c["value_y"], c["n"], c["example"]) for c in r.changes] == [
+        (m, t.value_x, t.value_y, t.n, tuple(t.example)) for (m, _), t in sorted(top.items())
+    ]
+    assert {m["measure"].upper(): m["n_distinct_changes"] for m in r.by_measure} == {m: t.n_distinct for (m, _), t in top.items()}
+    assert r.only_x == [tuple(k) for k in one_sided(d, "x", 6).collect()] and r.only_y == [tuple(k) for k in one_sided(d, "y", 6).collect()]
+    summary = {s.metric: s for s in d.summary().collect()}
+    for m in r.by_measure:
+        s = summary[m["measure"].upper()]
+        assert (m["n_same"], m["n_changed"], m["max_abs_diff"], m["max_rel_diff"]) == (s.n_same, s.n_changed, s.max_abs_diff, s.max_rel_diff)
+    d.df.unpersist()
+
+
+def test_one_sided_keys_of_pairs_come_once(spark):
+    x = frame(spark, "id string, v double", *[("a", float(i)) for i in range(9)], ("b", 1.0))
+    y = frame(spark, "id string, v double", ("a", 0.0), ("c", 1.0), ("c", 2.0))
+    with pytest.warns(td.DuplicatesWarning):
+        r = td.diff_table(x, y).report()
+    assert r.only_x == [("a",), ("b",)] and r.only_y == [("c",)] and (r.rows.n_only_x, r.rows.n_only_y) == (9, 2)
+
+
+def test_groups_and_rows(spark):
+    x = frame(spark, "id string, v double", ("a", 1.0), ("a", 2.0), ("b", 1.0), ("d", None))
+    y = frame(spark, "id string, v double", ("a", 2.0), ("a", 1.0), ("b", 3.0), ("c", 1.0))
+    r = td.diff_table(x, y, duplicates="aggregate").report()
+    assert r.unit == "keys" and (r.rows.n_same, r.rows.n_changed, r.rows.n_only_x, r.rows.n_only_y) == (1, 1, 1, 1)
+    assert r.by_measure == [{"measure": "v", "n_same": 1, "n_changed": 1, "match_rate": 0.5}] and r.only_x == [("d",)]
+    r = td.diff_table(x.select("id").distinct(), y.select("id").distinct()).report()
+    assert (r.rows.n_same, r.rows.n_only_x, r.rows.n_only_y, r.by_measure, r.only_y) == (2, 1, 1, [], [("c",)])
