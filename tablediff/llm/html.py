@@ -4,7 +4,7 @@ All pages of a host with the same frame (its containers with text, in order) are
 aligned one after another, menus, headers and footers included. What all have is
 the wrapper's fixed part; text that differs becomes a slot, runs of like elements
 a repeated group, and what some pages lack an optional group. The wrapper tells
-in which element the pages have their own text, which short texts in it are the
+in which element the pages have their own text, which texts in it are the
 template's, and whether an element whose class names it a side matter is one.
 Every page is then read by the wrapper of its own template.
 """
@@ -46,7 +46,7 @@ BREAKS = {"br", "hr", "img", "td", "th"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
 CONTENT = {"article", "main"}
 AROUND = {"html", "body", "div", "section", "center", *CONTENT}
-#: Elements of the article's own text, which is no template's however often it recurs.
+#: Elements of the article's own text, which may recur on a page or two without being the template's.
 OWN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "code"}
 #: Words in class, id or role that name what stands beside an article. The wrapper may tell otherwise.
 APART_WORDS = {
@@ -58,8 +58,8 @@ APART_WORDS = {
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "option": {"option"}}
 
 
-#: Words of a fixed text that a wrapper may leave out, at most; of longer ones it keeps a hash.
-SHORT = 12
+#: Pages that have to share a text in an element of the article's own kind before it is taken for the template's.
+SEVERAL = 3
 #: Groups in which the partial wrappers of one template are merged before they meet.
 SALT = 256
 
@@ -172,6 +172,11 @@ def _clean(value: str) -> str:
     return " ".join(unescape(value).split())
 
 
+def digest(value: str) -> str:
+    """What a wrapper keeps of a text: 128 bits, however long it is."""
+    return xxhash.xxh3_128_hexdigest(value)
+
+
 # --- wrappers
 
 
@@ -219,7 +224,7 @@ class Wrapper:
                 continue
             values.update(value + "\n")
             n = len(value.split())
-            node = Node(t.place.key, value if n <= SHORT else f"#{xxhash.xxh64_intdigest(value)}", words=n)
+            node = Node(t.place.key, digest(value), words=n)
             if out.nodes and out.nodes[-1].key == node.key:
                 out.nodes[-1] = replace(out.nodes[-1].with_(node, pages=1), repeated=True)
             else:
@@ -317,8 +322,9 @@ def rule(wrapper: Wrapper) -> dict:
     matter is plain if hardly any words (a tenth) stand elsewhere. From the outermost the
     rule goes to the inner element, as long as nothing beside that has words of
     its own outside of links; an article or main element with half of the words
-    is taken at once. Fixed are short texts that are the same on all of several
-    pages, in elements other than paragraphs, headings, lists and the like.
+    is taken at once. Fixed are texts of any length that are the same on all of
+    several pages that have them; in paragraphs, headings, lists and the like,
+    which pages may quote from each other, on all pages of the template.
     """
     if not wrapper.nodes:
         return NOTHING
@@ -361,7 +367,7 @@ def rule(wrapper: Wrapper) -> dict:
     if wrapper.differ:
         varied = {n.key for n in wrapper.nodes if n.value is None}
         for n in wrapper.nodes:
-            if n.value and n.pages > 1 and not n.value.startswith("#") and n.key not in varied and name(n.key) not in OWN:
+            if n.value and n.key not in varied and (n.pages > 1 if name(n.key) not in OWN else n.pages >= SEVERAL and not n.optional):
                 fixed.add((n.key, n.value))
     return {"inside": at, "fixed": sorted(fixed), "plain": sorted(plain)}
 
@@ -412,8 +418,9 @@ def article(html: str, rule: dict = NOTHING) -> str:
     if rule["inside"] == ROOT.key or not any(not t.value.isspace() for t in chosen):
         chosen = [t for t in texts if t.place.content] or texts
     blocks: dict[int, list[str]] = {}
+    places = {k for k, _ in fixed}
     for t in chosen:
-        if (t.place.key, _clean(t.value)) not in fixed:
+        if t.place.key not in places or (t.place.key, digest(_clean(t.value))) not in fixed:
             blocks.setdefault(t.block, []).append(t.value)
     joined = (_clean("".join(b)) for b in blocks.values())
     return "\n\n".join(b for b in joined if b)
@@ -439,7 +446,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Each task aligns its pages with the wrapper of their host and frame; partial
     wrappers of a template are merged in SALT groups and then in one, so a host
     with a third of all pages is a row a task and template. Rules are small (an
-    element and short texts) and joined by host and frame; Spark checks their
+    element and hashes of fixed texts) and joined by host and frame; Spark checks their
     size before it broadcasts them. Exact copies tell a wrapper nothing, and
     rows without html have no text. A null url belongs to the host "". Returns
     page_id, url, text (empty if none), n_chars; repeated rows and null ids give

@@ -47,11 +47,11 @@ def test_wrappers():
     b = "<div><h1>y</h1><p>four<div class=f>same foot</div><b>extra</b></div>"
     wrapper = html.infer([a, b])
     assert [(wrapper.elements[n.key][1], n.value, n.repeated, n.optional) for n in wrapper.nodes] == [
-        ("h1", None, False, False), ("p", None, True, False), ("div.f", "same foot", False, False), ("b", "extra", False, True),
+        ("h1", None, False, False), ("p", None, True, False), ("div.f", html.digest("same foot"), False, False), ("b", html.digest("extra"), False, True),
     ]
     assert html.rule(html.infer([a] * 6))["fixed"] == []  # copies tell nothing
     pages = [a.replace("x", f"title {k}").replace("one", f"text {k}") for k in range(3)]
-    assert [v for _, v in html.rule(html.infer(pages))["fixed"]] == ["same foot"]
+    assert [v for _, v in html.rule(html.infer(pages))["fixed"]] == [html.digest("same foot")]
     again = html.Wrapper.loads(wrapper.dumps())
     assert again == wrapper
 
@@ -94,6 +94,19 @@ def test_wrappers_decide():
         assert html.article(odd, html.rule(html.infer([odd]))) == "kept"
 
 
+def test_notices_go_whatever_their_length_and_element():
+    rnd = random.Random(18)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    for n in (3, 12, 13, 60):
+        for notice in (f"<div class=x>{text(n)}</div>", f"<p class=x># {text(n)}</p>", f"<li>{text(n)}</li>"):
+            made = [(text(30), text(20)) for _ in range(8)]
+            pages = [f"<body><div class=story><h1>{a}</h1>{notice}<p>{b}</p></div></body>" for a, b in made]
+            found = html.rule(html.infer(pages))
+            assert [html.article(p, found) for p in pages] == [f"{a}\n\n{b}" for a, b in made]
+    quoted = [f"<body><div class=story><h1>{text(5)}</h1>{'<p class=q>the same words</p>' * (k < 2)}<p>{text(9)}</p></div></body>" for k in range(8)]
+    assert "the same words" in html.article(quoted[0], html.rule(html.infer(quoted)))
+
+
 def test_templates_of_a_host_are_apart(spark):
     rnd = random.Random(16)
     text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
