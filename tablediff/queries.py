@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable
 
@@ -12,8 +13,9 @@ from . import (
     DiffResult, aggregate_by_key, cast_rules, compare_columns, diff_table, duplicate_keys, melt, merge_dry_run, merge_tables,
     normalize_types, summarize_columns, virtual_key,
 )
-from .errors import CastError, DuplicatesError
+from .errors import CastError, DisjointError, DuplicatesError, KeysError
 from .plans.report import one_sided, row_counts, top_changes
+from .testing import TableMismatch, assert_table_equal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -504,7 +506,7 @@ def first_mismatches(spark, sf_dir):
 
 @query(f"{WITH_STATUS} SELECT 'o_totalprice' AS measure, count(*) FILTER (st = 'same') AS n_same, count(*) FILTER (st = 'changed') AS n_changed, round(count(*) FILTER (st = 'same')::DOUBLE / count(*) FILTER (st IN ('same', 'changed')), 6) AS match_rate, count(DISTINCT (vx, vy)) FILTER (st = 'changed') AS n_distinct_changes FROM s")
 def report_by_measure(spark, sf_dir):
-    rows = orders_diff(spark, sf_dir).persisted().report().by_measure
+    rows = orders_diff(spark, sf_dir).report().by_measure
     rows = [(m["measure"], m["n_same"], m["n_changed"], round(m["match_rate"], 6), m["n_distinct_changes"]) for m in rows]
     return spark.createDataFrame(rows, "measure string, n_same long, n_changed long, match_rate double, n_distinct_changes long")
 
@@ -641,6 +643,108 @@ def cast_refused(spark, sf_dir):
     raise AssertionError("the cast was not refused")
 
 
+# --- refusals, and what is only seen in order
+
+
+@query("SELECT CAST(CAST(o_orderkey AS DOUBLE) + 0.5 AS VARCHAR) AS example, 'numeric' AS from_type, 'integer' AS to_type FROM orders WHERE o_orderkey % 9 = 0 ORDER BY o_orderkey LIMIT 3")
+def truncate_refused(spark, sf_dir):
+    """The first three values that a cast would cut, where that is not allowed."""
+    x, _ = orders(spark, sf_dir)
+    y = x.withColumn("o_orderkey", F.col("o_orderkey") + F.when(F.col("o_orderkey") % 9 == 0, 0.5).otherwise(0.0))
+    try:
+        diff_table(x, y, order_by=["o_orderkey"], truncate=False)
+    except CastError as e:
+        return spark.createDataFrame([(v, e.from_type, e.to_type) for v in e.examples], "example string, from_type string, to_type string")
+    raise AssertionError("the cast was not refused")
+
+
+def _refused(spark, error: type, task: Callable, *names: str) -> DataFrame:
+    """The numbers with which a task is refused."""
+    try:
+        task()
+    except error as e:
+        return spark.createDataFrame([tuple(e.dry_run[n] for n in names)], ", ".join(f"{n} {'double' if n == 'max_fanout' else 'long'}" for n in names))
+    raise AssertionError("it was not refused")
+
+
+@query(f"""WITH x AS (SELECT k, n, count(*) AS c FROM ({LINES}) GROUP BY k, n), y AS (SELECT k, n, count(*) AS c FROM ({LINES_Y}) GROUP BY k, n),
+j AS (SELECT x.c AS cx, y.c AS cy FROM x FULL JOIN y ON x.k = y.k AND x.n = y.n)
+SELECT sum(cx)::BIGINT AS rows_x, sum(cy)::BIGINT AS rows_y, count(*) FILTER (cx > 1) AS dups_x, count(*) FILTER (cy > 1) AS dups_y, max(cx::DOUBLE * cy) AS max_fanout FROM j""")
+def merge_refused(spark, sf_dir):
+    """Keys that are not one to one."""
+    return _refused(spark, KeysError, lambda: merge_tables(*_lines(spark, sf_dir), KEYS, "full"), "rows_x", "rows_y", "dups_x", "dups_y", "max_fanout")
+
+
+@query("SELECT count(*) AS rows_x, count(*) FILTER (o_orderkey % 2 = 0) AS rows_y, count(DISTINCT o_orderkey) AS keys_x, 0::BIGINT AS keys_common FROM orders")
+def disjoint_refused(spark, sf_dir):
+    """Tables of which no row aligns."""
+    x, _ = orders(spark, sf_dir)
+    y = x.where("o_orderkey % 2 = 0").withColumn("o_orderkey", (F.col("o_orderkey") + 10_000_000).cast("int"))
+    return _refused(spark, DisjointError, lambda: diff_table(x, y), "rows_x", "rows_y", "keys_x", "keys_common")
+
+
+@query(f"{WITH_STATUS} SELECT st AS status, count(*) AS n, (SELECT count(*) FROM s WHERE st <> 'same') AS n_off, (SELECT count(*) FROM s) AS n_all FROM s WHERE st <> 'same' GROUP BY st")
+def assertion_refused(spark, sf_dir):
+    """What an assertion finds, and the numbers that its message names."""
+    x, y = orders(spark, sf_dir)
+    try:
+        assert_table_equal(y, x)
+    except TableMismatch as e:
+        n_off, n_all = (int(n.replace(",", "")) for n in re.search(r"differ: ([0-9,]+) of ([0-9,]+) records", str(e)).groups())
+        return e.result.differences().groupBy("status").agg(F.count("*").alias("n")).select("status", "n", F.lit(n_off).cast("long").alias("n_off"), F.lit(n_all).cast("long").alias("n_all"))
+    raise AssertionError("the tables did not differ")
+
+
+@query("""SELECT kind, "column", count(*) AS n_records FROM part, (VALUES ('dropped_columns', 'P_Brand'), ('dropped_columns', 'p type'), ('ignored_columns', 'P_SIZE')) AS c(kind, "column") GROUP BY ALL""")
+def noted_columns(spark, sf_dir):
+    """Columns that only the candidate has are dropped, those without a role ignored; each is noted. With the number of compared records."""
+    (p,) = tables(spark, sf_dir, "part")
+    x = normalize_types(p.select("p_partkey", "p_size", "p_retailprice"), NARROW)
+    d = diff_table(x, normalize_types(p.select("p_partkey", "p_size", "p_retailprice", F.col("p_brand").alias("P_Brand"), F.col("p_type").alias("p type")), NARROW), by="p_partkey")
+    noted = [(n.kind, c) for n in d.notes for c in n.columns]
+    return d.df.groupBy().agg(F.count("*").alias("n_records")).crossJoin(F.broadcast(spark.createDataFrame(noted, "kind string, column string"))).select("kind", "column", "n_records")
+
+
+@query("""SELECT place::INT AS place, name, (SELECT count(*) FROM supplier) AS n_records FROM (VALUES (0, 'S_SUPPKEY'), (1, 'S_NAME'), (2, 'S_NATIONKEY'), (3, 'metric'), (4, 'row_id_x'), (5, 'row_id_y'),
+(6, 'value_x'), (7, 'value_y'), (8, 'diff'), (9, 'abs_diff'), (10, 'rel_diff'), (11, 'status')) AS c(place, name)""")
+def columns_in_order(spark, sf_dir):
+    """The columns of a comparison in their order, beside the number of its records."""
+    d = diff_table(*_supplier(spark, sf_dir))
+    return d.df.agg(F.count("*").alias("n_records")).select(F.posexplode(F.array(*map(F.lit, d.df.columns))).alias("place", "name"), "n_records")
+
+
+@query("""SELECT place::INT AS place, metric, n, n_same, n_changed FROM (
+SELECT 0 AS place, 'P_SIZE' AS metric, count(*) AS n, count(*) FILTER (p_partkey % 3 = 0) AS n_same, count(*) FILTER (p_partkey % 3 <> 0) AS n_changed FROM part
+UNION ALL SELECT 1, 'P_RETAILPRICE', count(*), count(*), 0 FROM part)""")
+def summary_in_order(spark, sf_dir):
+    """Measures are summed up in the order of the benchmark."""
+    (p,) = tables(spark, sf_dir, "part")
+    x = normalize_types(p.select("p_partkey", "p_size", "p_retailprice"), NARROW)
+    y = x.withColumn("p_size", (F.col("p_size") + F.col("p_partkey") % 3).cast("int"))
+    rows = diff_table(x, y, by="p_partkey", measures="numeric+integer").summary().collect()  # one for each measure
+    return spark.createDataFrame([(i, r["metric"], r["n"], r["n_same"], r["n_changed"]) for i, r in enumerate(rows)], "place int, metric string, n long, n_same long, n_changed long")
+
+
+@query(f"""WITH {JOINED}, f AS (SELECT {CELL_SQL}, {_status('vx = vy')} AS status FROM j)
+SELECT (row_number() OVER (ORDER BY O_ORDERKEY, O_ORDERSTATUS))::INT AS place, O_ORDERKEY, status FROM f WHERE status <> 'same' QUALIFY place <= 20""")
+def differences_in_order(spark, sf_dir):
+    """The first records that differ, each with its place."""
+    d = orders_diff(spark, sf_dir)
+    rows = d.with_df(d.differences()).sorted().limit(20).collect()
+    return spark.createDataFrame([(i + 1, r["O_ORDERKEY"], r["status"]) for i, r in enumerate(rows)], "place int, O_ORDERKEY int, status string")
+
+
+@query(f"""{WITH_STATUS}, c AS (SELECT count(*) FILTER (in_x) AS x, count(*) FILTER (in_y) AS y, count(*) FILTER (in_x AND in_y) AS b, count(*) FILTER (st = 'only_x') AS ox, count(*) FILTER (st = 'only_y') AS oy,
+count(*) FILTER (st = 'same') AS s, count(*) FILTER (st = 'changed') AS c FROM s)
+SELECT what, n, printf('%.2f %%', 100.0 * n / of) AS share FROM (SELECT 'only in old' AS what, ox AS n, x AS of FROM c UNION ALL SELECT 'same', s, b FROM c UNION ALL SELECT 'changed', c, b FROM c
+UNION ALL SELECT 'only in new', oy, y FROM c)""")
+def report_drawn(spark, sf_dir):
+    """The counts of rows and their shares as the drawn report says them."""
+    lines = orders_diff(spark, sf_dir).report(x_name="old", y_name="new").format(unicode=False)
+    found = [re.match(r"\s*\S\s+(only in old|same|changed|only in new)\s+([0-9,]+)\s+([0-9.]+ %) of (?:old|new|common)$", line) for line in lines]
+    return spark.createDataFrame([(m[1], int(m[2].replace(",", "")), m[3]) for m in found if m], "what string, n long, share string")
+
+
 @query("""SELECT event_id::INT AS event_id, CAST(ts AS DATE) AS ts, value FROM events""")
 def normalized_types(spark, sf_dir):
     (e,) = tables(spark, sf_dir, "events")
