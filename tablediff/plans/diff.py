@@ -15,7 +15,7 @@ from ..errors import (
     ColumnsError, DisjointError, DuplicatesError, DuplicatesWarning, InputError, KeysError, MeasuresError, Note, TypesError, listed, log,
 )
 from ..functions.cast import Cast, Truncation
-from ..functions.classify import relative, same_value, status
+from ..functions.classify import relative_sql, same_value_sql, status_sql
 from ..functions.names import Name, canonical_name, check_names, name_map
 from ..functions.types import CAST_TYPES, MEASURE_TYPES, SPARK_TYPES, col_type
 from ..operators.keys import counted, dry_run, folded, multiset, same_keys
@@ -327,26 +327,21 @@ def _classified(wx, wy, keys, ids, values, chosen, columns, aggregate, paired, t
     a = wx.toDF(*[f"{c}_x" for c in wx.columns])
     b = wy.toDF(*[f"{c}_y" for c in wy.columns])
     j = a.join(b, same_keys(a, b, [f"{k}_x" for k in on], [f"{k}_y" for k in on]), "full")
-    in_x, in_y = F.col("__row_x"), F.col("__row_y")
-    key = lambda k: F.when(in_x.isNotNull(), F.col(f"{k}_x")).otherwise(F.col(f"{k}_y"))  # noqa: E731  a key may itself be null
-    kept = [key(k).alias(columns.get(i, i) if i == "row_number" else i) for k, i in zip(keys, ids)]
-    if paired:
-        kept.append(key("__seq").alias(columns["key_seq"]))
-    own = columns
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    key = lambda k: f"IF(__row_x IS NOT NULL, {k}_x, {k}_y)"  # noqa: E731  a key may itself be null
     kept_names = [columns.get(i, i) if i == "row_number" else i for i in ids] + ([columns["key_seq"]] if paired else [])
+    kept = [f"{key(k)} AS {quoted(n)}" for k, n in zip([*keys, "__seq"], kept_names)]
+    own = {k: quoted(v) for k, v in columns.items()}
     if not values:
-        rows = j.select(*kept, in_x.alias(own["row_id_x"]), in_y.alias(own["row_id_y"]), status(in_x, in_y, F.lit(True)).alias(own["status"]))
-        return rows, "rows"
+        return j.selectExpr(*kept, f"__row_x AS {own['row_id_x']}", f"__row_y AS {own['row_id_y']}", f"{status_sql('__row_x', '__row_y', 'true')} AS {own['status']}"), "rows"
     cells = [[f"{v}_x", f"{v}_y"] for v in values]
-    long = unpivot(j, [*kept, in_x.alias("__x"), in_y.alias("__y")], chosen, cells, ["__vx", "__vy"]).toDF(*kept_names, "__x", "__y", "__m", "__vx", "__vy")
-    vx, vy = F.col("__vx"), F.col("__vy")
-    out = long.select(
-        *kept_names, F.col("__m").alias(own["metric"]), F.col("__x").alias(own["row_id_x"]), F.col("__y").alias(own["row_id_y"]),
-        vx.alias(own["value_x"]), vy.alias(own["value_y"]), (vy - vx).alias(own["diff"]), F.abs(vy - vx).alias(own["abs_diff"]),
-        relative(vx, vy).alias(own["rel_diff"]),
-        status(F.col("__x"), F.col("__y"), same_value(vx, vy, tolerance, rel_tol, nan_is_na)).alias(own["status"]),
-    )
-    return out, "cells"
+    plain = [f"__g{i}" for i in range(len(kept_names))]
+    long = unpivot(j.selectExpr(*[f"{key(k)} AS {g}" for k, g in zip([*keys, "__seq"], plain)], "__row_x", "__row_y", *[c for pair in cells for c in pair]), [*plain, "__row_x", "__row_y"], chosen, cells, ["__vx", "__vy"])
+    return long.selectExpr(
+        *[f"{g} AS {quoted(n)}" for g, n in zip(plain, kept_names)], f"metric AS {own['metric']}", f"__row_x AS {own['row_id_x']}", f"__row_y AS {own['row_id_y']}",
+        f"__vx AS {own['value_x']}", f"__vy AS {own['value_y']}", f"__vy - __vx AS {own['diff']}", f"abs(__vy - __vx) AS {own['abs_diff']}", f"{relative_sql('__vx', '__vy')} AS {own['rel_diff']}",
+        f"{status_sql('__row_x', '__row_y', same_value_sql('__vx', '__vy', tolerance, rel_tol, nan_is_na))} AS {own['status']}",
+    ), "cells"
 
 
 def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na, held) -> DataFrame:
@@ -365,7 +360,7 @@ def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na, held) -> D
     some = lambda n: F.nullif(F.sum(n), F.lit(0))
     if not values:
         out = both.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(some(nx).alias("x"), some(ny).alias("y"))
-        state = status(F.col("x"), F.col("y"), F.col("x") == F.col("y")).alias(own["status"])
+        state = F.expr(status_sql("x", "y", "x = y")).alias(own["status"])
         return out.select(*names, F.col("x").alias(own["n_rows_x"]), F.col("y").alias(own["n_rows_y"]), state)
     long = unpivot(both, [*[F.col(k) for k in keys], nx, ny], chosen, [[x] for x in values], ["__v"])
     long = long.withColumn("__v", folded(v)) if nan_is_na else long
@@ -380,5 +375,5 @@ def _multisets(wx, wy, keys, ids, values, chosen, columns, nan_is_na, held) -> D
         *[F.col(f"__g{i}").alias(n) for i, n in enumerate(names)], F.col("__m").alias(own["metric"]), x.alias(own["n_rows_x"]), y.alias(own["n_rows_y"]),
         F.when(x.isNotNull(), F.col("__ex")).alias(own["n_na_x"]), F.when(y.isNotNull(), F.col("__ey")).alias(own["n_na_y"]),
         F.when(x.isNotNull(), F.col("__kx")).alias(own["value_key_x"]), F.when(y.isNotNull(), F.col("__ky")).alias(own["value_key_y"]),
-        status(x, y, ~F.col("__off")).alias(own["status"]),
+        F.expr(status_sql("__x", "__y", "NOT __off")).alias(own["status"]),
     )
