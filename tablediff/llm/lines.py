@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks, in SQL functions only.
+"""Line dedup by pairs of lines that recur, in SQL functions only.
 
 A hash is rolled over each two lines that follow each other. Where it recurs in
 the corpus the lines belong together, and where it does not a chunk ends; so the

@@ -259,7 +259,7 @@ def write_token_files(
 
     frames = keyed.mapInArrow(encode, "part int, doc_id long, h long, frame binary, n_tokens long")
     files = (
-        frames.repartition(parts, "part")
+        frames.repartitionById(parts, "part")  # each range in a task of its own
         .sortWithinPartitions("part", "doc_id", "h", "frame")
         .mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
     )
