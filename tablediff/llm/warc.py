@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -18,9 +19,12 @@ from .common import new_folder, stash
 from .files import Replaced, filesystem
 
 MAGIC = b"WARC/1.1\r\n"
-#: A gzip member with an extra field "sl", which holds its lengths, compressed and not.
+#: What records of either version begin with, and the part of it that is looked for.
+VERSIONS, SOUGHT = (b"WARC/1.0\r\n", MAGIC), b"WARC/1."
+#: A gzip member with an extra field "sl", which holds its lengths, compressed and not; other writers' members have none.
 MEMBER = struct.Struct("<4s6sH4sII")
 GZIP, EXTRA = b"\x1f\x8b\x08\x04", b"sl\x08\x00"
+ANY_GZIP = GZIP[:3]
 END = b"\r\n\r\n"
 HEAD = re.compile(rb"(?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+\r\n")
 FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
@@ -122,7 +126,7 @@ class Block:
         self.file, self.start, self.end = fs.open_input_file(where), start, end
         self.data = self.file.read_at(end - start, start)
         self.compressed = path.endswith(".gz")
-        self.magic = GZIP if self.compressed else MAGIC
+        self.magic = ANY_GZIP if self.compressed else SOUGHT
 
     def read(self, at: int, stop: int) -> bytes:
         have = self.start + len(self.data)
@@ -135,7 +139,7 @@ class Block:
         size = STEP
         while True:
             data = self.read(at, at + size)
-            if not data.startswith(MAGIC):
+            if not data.startswith(VERSIONS):
                 return None
             if m := HEAD.match(data, len(MAGIC)):
                 fields = {k.lower(): v for k, v in FIELD.findall(m[0])}
@@ -150,10 +154,30 @@ class Block:
             found = self.header(at)
             return found and found[1] + int(found[0][b"content-length"]) + len(END)
         head = self.read(at, at + MEMBER.size)
-        if len(head) < MEMBER.size:
+        if len(head) == MEMBER.size:
+            magic, _, extra_size, extra, size, _ = MEMBER.unpack(head)
+            if (magic, extra_size, extra) == (GZIP, 12, EXTRA):
+                return at + size if size > MEMBER.size else None
+        return self.inflated(at)
+
+    def inflated(self, at: int) -> int | None:
+        """Where the gzip member at `at` ends, found by inflating it; nothing unless it holds a record. Keeps no more than a step of it."""
+        out, first, begin = zlib.decompressobj(31), b"", at
+        try:
+            while not out.eof:
+                data = out.unconsumed_tail or self.read(at, at + STEP)
+                if not data:
+                    return None  # the file ends in it
+                at += 0 if out.unconsumed_tail else len(data)
+                part = out.decompress(data, STEP)
+                if len(first) < len(MAGIC):
+                    first += part[: len(MAGIC)]
+                    if not any(v.startswith(first[: len(v)]) for v in VERSIONS):
+                        return None
+        except zlib.error:
             return None
-        magic, _, extra_size, extra, size, _ = MEMBER.unpack(head)
-        return at + size if (magic, extra_size, extra) == (GZIP, 12, EXTRA) and size > MEMBER.size else None
+        to = at - len(out.unused_data)
+        return to if first.startswith(VERSIONS) and to > begin else None
 
     def record(self, at: int) -> tuple[dict[bytes, bytes], bytes, int] | None:
         """The fields and the block of the record at `at`, and where the next one begins."""
@@ -197,8 +221,11 @@ def read_warc(files: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     block. From the start of each file, pointer jumping over these offsets finds
     where the true chain enters each block; from there the records are read. A
     file whose chain does not lead to its end is refused (ValueError, with the
-    last place that it leads to). Files of no bytes have no records. Returns page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to and payload (null for revisits).
+    last place that it leads to). Files of no bytes have no records. Members of a
+    .gz file tell their lengths, or else are inflated to find their ends; records
+    of other writers and of any type are read, with a null page_id. Returns
+    page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload
+    (null for revisits; of records that hold no HTTP message, the whole block).
     """
     blocks = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(block_bytes))).alias("start"))
     blocks = blocks.where("size > 0").select("path", "start", F.least(F.col("start") + block_bytes, F.col("size")).alias("end"))
@@ -259,22 +286,34 @@ def _records(block: Block, at: int) -> Iterator[dict]:
     number = lambda v: int(m[1]) if v and (m := re.match(rb"<urn:page:(-?\d+)>", v)) else None
     while at < block.end and (found := block.record(at)):
         fields, data, at = found
-        http, _, payload = data.partition(END)
-        revisit = fields[b"warc-type"] == b"revisit"
-        digest = fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
-        if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"a payload differs from its digest {digest}")
+        kind = fields.get(b"warc-type", b"").decode()
+        revisit = kind == "revisit"
+        # Only records of HTTP messages have a payload apart from their block.
+        http, _, payload = data.partition(END) if revisit or fields.get(b"content-type", b"").startswith(b"application/http") else (b"", b"", data)
+        length = re.search(rb"(?i)content-length: *(\d+)", http)
+        said = fields.get(b"warc-payload-digest", b"").decode()
+        digest = _sha1(said) if said else None if revisit else hashlib.sha1(payload).hexdigest()
+        if said.lower().startswith("sha1:") and not revisit and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"a payload differs from its digest {said}")
         yield {
-            "page_id": number(fields[b"warc-record-id"]),
+            "page_id": number(fields.get(b"warc-record-id")),
             "url": fields[b"warc-target-uri"].decode() if b"warc-target-uri" in fields else None,
-            "payload_bytes": int(re.search(rb"(?i)content-length: *(\d+)", http)[1]),
+            "payload_bytes": int(length[1]) if length else len(payload),
             "payload_digest": digest,
-            "record_type": fields[b"warc-type"].decode(),
+            "record_type": kind,
             "refers_to": number(fields.get(b"warc-refers-to")),
             "payload": None if revisit else payload,
         }
 
 
+def _sha1(said: str) -> str:
+    """A digest as lower-case hex; other writers have it in base 32."""
+    name, _, value = said.partition(":")
+    if name.lower() == "sha1" and len(value) == 32:
+        return base64.b32decode(value.upper()).hex()
+    return value.lower() if name.lower() == "sha1" else said
+
+
 def archived(pages: DataFrame) -> DataFrame:
     """Writes `pages` to WARC files in a new folder beside the checkpoints, and reads them back."""
     return read_warc(write_warc(pages, new_folder(pages.sparkSession, "warc")))
