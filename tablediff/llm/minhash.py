@@ -129,9 +129,10 @@ def jaccard_links(
 ) -> DataFrame:
     """Links (a, b) between text hashes that connect all texts of `docs` that share a band and reach the similarity.
 
-    `keyed` has h, keys, size and signature, a row for each text. In each band's
-    bucket all texts are first compared with one of them, which links most groups
-    of copies. What is not connected then is compared pair by pair in buckets of
+    `keyed` has h, keys, size and signature, a row for each text. Each text is
+    first compared with one of those that it shares a bucket with, the same for
+    all as far as possible, which links most groups of copies. What is not connected
+    then is compared pair by pair in buckets of
     up to `bucket` texts. A fuller one may hold a large group of near copies:
     there the one next to what most of them share is compared with all others,
     then the pairs that are not linked yet and can reach the similarity.
@@ -140,7 +141,8 @@ def jaccard_links(
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
     keys = stash(keys.join(sizes, "key"), "bands")
     sets = stash(_sets(docs, keys.select("h").distinct(), shingle, seed), "shingles")
-    found = _alike(keys.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")), keyed, sets, similarity)
+    one = keys.groupBy(F.col("h").alias("b")).agg(F.min("first").alias("a")).where("a <> b")  # a pair for each text, whatever its buckets hold
+    found = _alike(one.select("a", "b"), keyed, sets, similarity)
 
     roots = stash(connected_components(found), "roots")
     rooted = keys.join(roots, F.col("h") == F.col("node"), "left").select("key", "n", "h", F.coalesce("root", "h").alias("root"))
