@@ -131,11 +131,11 @@ def jaccard_links(
 
     `keyed` has h, keys, size and signature, a row for each text. Each text is
     first compared with one of those that it shares a bucket with, the same for
-    all as far as possible, which links most groups of copies. What is not connected
-    then is compared pair by pair in buckets of
-    up to `bucket` texts. A fuller one may hold a large group of near copies:
-    there the one next to what most of them share is compared with all others,
-    then the pairs that are not linked yet and can reach the similarity.
+    all as far as possible, which links most groups of copies. A bucket of over
+    `bucket` texts may hold a large group of near copies: there the one next to
+    what most of them share is compared with all others. What is not connected
+    then is compared pair by pair, in full buckets the pairs that can reach the
+    similarity.
     """
     keys = keyed.select("h", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
@@ -144,20 +144,26 @@ def jaccard_links(
     one = keys.groupBy(F.col("h").alias("b")).agg(F.min("first").alias("a")).where("a <> b")  # a pair for each text, whatever its buckets hold
     found = _alike(one.select("a", "b"), keyed, sets, similarity)
 
-    roots = stash(connected_components(found), "roots")
-    rooted = keys.join(roots, F.col("h") == F.col("node"), "left").select("key", "n", "h", F.coalesce("root", "h").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    rooted = stash(rooted.join(mixed, "key"), "bands")
-    few, full = rooted.where(F.col("n") <= bucket), rooted.where(F.col("n") > bucket).select("key", "h")
+    def still_mixed(keys: DataFrame) -> DataFrame:
+        """The buckets with texts that no links connect yet, and the root of each text."""
+        roots = connected_components(found)
+        rooted = keys.join(roots, F.col("h") == F.col("node"), "left").select("key", "n", "h", F.coalesce("root", "h").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+        return stash(rooted.join(mixed, "key"), "bands")
+
+    mixed = still_mixed(keys)
+    full = mixed.where(F.col("n") > bucket).select("key", "n", "h")
+    held = None
+    if not full.isEmpty():
+        held = stash(_in_buckets(full.select("key", "h"), sets), "bands")
+        star = held.join(held.groupBy("key").agg(F.max_by("h", "to_core").alias("a")), "key").where("a <> h")
+        found = found.union(_alike(star.select("a", F.col("h").alias("b")), keyed, sets, similarity))
+        mixed = still_mixed(mixed.select("key", "n", "h"))
+    few = mixed.where(F.col("n") <= bucket)
     side = lambda k: few.select("key", F.col("h").alias(k), F.col("root").alias(f"root_{k}"))
     pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b").select("a", "b")
     found = found.union(_alike(pairs, keyed, sets, similarity))
-    if full.isEmpty():
-        return found
-    held = stash(_in_buckets(full, sets), "bands")
-    star = held.join(held.groupBy("key").agg(F.max_by("h", "to_core").alias("a")), "key").where("a <> h")
-    found = found.union(_alike(star.select("a", F.col("h").alias("b")), keyed, sets, similarity))
-    return found.union(_alike(_apart(held, connected_components(found), similarity), keyed, sets, similarity))
+    return found if held is None else found.union(_alike(_apart(held, connected_components(found), similarity), keyed, sets, similarity))
 
 
 def _in_buckets(full: DataFrame, sets: DataFrame) -> DataFrame:
