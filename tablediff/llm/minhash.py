@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stash
@@ -132,10 +132,11 @@ def jaccard_links(
     `keyed` has h, keys, size and signature, a row for each text. Each text is
     first compared with one of those that it shares a bucket with, the same for
     all as far as possible, which links most groups of copies. A bucket of over
-    `bucket` texts may hold a large group of near copies: there the one next to
-    what most of them share is compared with all others. What is not connected
-    then is compared pair by pair, in full buckets the pairs that can reach the
-    similarity.
+    `bucket` texts may hold a large group of near copies, and such a group fills
+    many buckets: full buckets go together by a text that is in many of them, and
+    the one next to what most of the texts share is compared with all others. What
+    is not connected then is compared pair by pair, in full buckets the pairs
+    that can reach the similarity.
     """
     keys = keyed.select("h", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
@@ -155,61 +156,81 @@ def jaccard_links(
     full = mixed.where(F.col("n") > bucket).select("key", "n", "h")
     held = None
     if not full.isEmpty():
-        held = stash(_in_buckets(full.select("key", "h"), sets), "bands")
-        star = held.join(held.groupBy("key").agg(F.max_by("h", "to_core").alias("a")), "key").where("a <> h")
+        held = stash(_from_core(stash(_gathered(full), "gathered"), sets, similarity), "held")
+        star = held.join(held.groupBy("key").agg(F.min_by("h", F.struct("off", "h")).alias("a")), "key").where("a <> h")
         found = found.union(_alike(star.select("a", F.col("h").alias("b")), keyed, sets, similarity))
         mixed = still_mixed(mixed.select("key", "n", "h"))
     few = mixed.where(F.col("n") <= bucket)
     side = lambda k: few.select("key", F.col("h").alias(k), F.col("root").alias(f"root_{k}"))
     pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b").select("a", "b")
     found = found.union(_alike(pairs, keyed, sets, similarity))
-    return found if held is None else found.union(_alike(_apart(held, connected_components(found), similarity), keyed, sets, similarity))
+    return found if held is None else found.union(_alike(_apart(held, connected_components(found)), keyed, sets, similarity))
 
 
-def _in_buckets(full: DataFrame, sets: DataFrame) -> DataFrame:
-    """The texts of full buckets (key, h), with what they have of the bucket's core: the shingles in over half of its texts.
+def _gathered(full: DataFrame) -> DataFrame:
+    """(key, h) of the texts of full buckets (key, n, h), the buckets gathered under the text (key) that leads them.
 
-    size: of the set; inside: of its part in the core; outside: the rest of it; to_core: its similarity to the core.
+    A bucket is led by the one of its texts whose buckets hold most, and then by
+    the leader of most among those of all buckets that its texts are in. So the
+    buckets of a large group of near copies come together, and each of its texts
+    counts once, not once for each band; texts that share a bucket share a group.
     """
-    members = full.join(sets, "h")
-    items = members.select("key", F.explode("hashes").alias("item")).groupBy("key", "item").agg(F.count("*").alias("m"))
-    core = items.join(full.groupBy("key").agg(F.count("*").alias("n")), "key").where("2 * m > n")
-    core = core.groupBy("key").agg(F.collect_list("item").alias("core"))  # under twice the mean set
-    members = members.join(core, "key", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
-    members = members.select("key", "h", F.size("hashes").alias("size"), F.array_except("hashes", "core").alias("outside"), F.size("core").alias("n"))
-    inside = F.col("size") - F.size("outside")
-    return members.select("key", "h", "size", inside.alias("inside"), "outside", (inside / (F.col("size") + F.col("n") - inside)).alias("to_core"))
-
-
-def _apart(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) of a full bucket that no links connect yet and that can reach the similarity.
-
-    With the shingles of a text in one order for all, those outside the core
-    first, two texts that reach it share one of their first size - least + 1
-    shingles, `least` being the fewest that they have to share. So either they
-    share one of those outside the core, and enough can follow it, or they share
-    at most what the one with less of the core has of it; that bounds the size
-    of the other, and such pairs are joined by their sizes.
+    top = lambda rows, by: rows.groupBy(by).agg(F.max(F.struct("w", "lead")).alias("top")).select(by, "top.w", "top.lead")
+    keys = full.select("key", "h")
+    leads = top(keys.join(full.groupBy("h").agg(F.sum("n").alias("w")).withColumn("lead", F.col("h")), "h"), "key")
+    leads = top(keys.join(top(keys.join(leads, "key"), "h"), "h"), "key")
+    return keys.join(leads, "key").select(F.col("lead").alias("key"), "h").distinct()
+
+
+def _from_core(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The texts of groups (key, h), with what they have otherwise than the group's core: the shingles in over half of its texts.
+
+    size: of the set; odd: the shingles in one of set and core only; off: their
+    number, less what a pair of that size may differ in. Two sets differ in what
+    is odd to one of them only, so a pair reaches the similarity if and only if
+    it shares (off + off) / 2 odd shingles.
+    """
+    lead = sets.select(F.col("h").alias("key"), F.col("hashes").alias("lead"))
+    between = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+    members = groups.join(sets, "h").join(lead, "key").select("key", "h", F.size("hashes").alias("size"), between("hashes", "lead").alias("odd"))
+    members = stash(members, "members")
+    items = members.select("key", F.explode("odd").alias("item")).groupBy("key", "item").agg(F.count("*").alias("m"))
+    often = items.join(groups.groupBy("key").agg(F.count("*").alias("n")), "key").where("2 * m > n")
+    often = often.groupBy("key").agg(F.collect_list("item").alias("often"))  # what core and leader differ in, under three times the mean set
+    members = members.join(often, "key", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+    members = members.select("key", "h", "size", between("odd", "often").alias("odd"))
+    return members.withColumn("off", F.size("odd") - F.col("size") * ((1 - similarity) / (1 + similarity)))
+
+
+def _apart(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a group that no links connect yet and that can reach the similarity.
+
+    Those whose off + off is at most 0 reach it, and so does each of them with the
+    text of the least off, which is compared with all; so they are connected. All
+    others share an odd shingle. With these in one order for all texts of a group,
+    the rarest first, a pair that shares k has the first of them among the first
+    size - k + 1 of each. What only connected texts have comes before all, as no
+    pair needs it. Pairs within the group's largest component are not formed.
     """
     placed = held.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    placed = stash(placed.join(mixed, "key").select("key", "h", "root", "size", "inside", "outside"), "bands")
-    side = lambda df, x, *more: df.select("key", "on", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "root", "size", *more)])
-    fewest = F.ceil(F.col("size") * similarity - 1e-6).cast("int")
-    first = F.slice("outside", F.lit(1), F.col("size") - fewest + 1)
-    out = stash(placed.select("key", "h", "root", "size", F.posexplode(first).alias("at", "on")), "bands")
-    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # shared from there on, at most
-    enough = left * (1 + similarity) + 1e-6 >= similarity * (F.col("size_a") + F.col("size_b"))
-    by_shingle = side(out, "a", "at").join(side(out, "b", "at"), ["key", "on"]).where("h_a < h_b and root_a <> root_b").where(enough)
-    # With m = least(inside) shared: m / (size + other - m) >= similarity, where m <= inside and m <= other.
-    most = F.floor(F.col("inside") * (1 + 1 / similarity) - F.col("size") + 1e-6).cast("int")
-    low = placed.where(most >= fewest).select("key", "h", "root", "size", "inside", F.explode(F.sequence(fewest, most)).alias("on"))
-    other = placed.select("key", "h", "root", "size", "inside", F.col("size").alias("on"))
-    by_size = side(low, "a", "inside").join(side(other, "b", "inside"), ["key", "on"]).where("root_a <> root_b").where(
-        "inside_a < inside_b or inside_a = inside_b and h_a < h_b"
-    )
-    pairs = by_shingle.select("h_a", "h_b").union(by_size.select(F.least("h_a", "h_b"), F.greatest("h_a", "h_b")))
-    return pairs.toDF("a", "b").distinct()
+    by_root = placed.groupBy("key", "root").agg(F.min("off").alias("off"), F.count("*").alias("n"))
+    nearest, largest = F.min_by("root", F.struct("off", "root")), F.max_by("root", F.struct("n", "root"))
+    mixed = by_root.groupBy("key").agg(nearest.alias("nearest"), F.min("off").alias("least"), largest.alias("main"), F.count("*").alias("k")).where("k > 1")
+    second = by_root.join(mixed, "key").where("root <> nearest").groupBy("key").agg(F.min("off").alias("second"))
+    placed = placed.join(mixed.join(second, "key"), "key")
+    other = F.when(F.col("root") == F.col("nearest"), F.col("second")).otherwise(F.col("least"))  # the least off of another component
+    shared = F.greatest(F.lit(1), F.ceil((F.col("off") + other) / 2 - 1e-6))
+    placed = placed.select("key", "h", "root", "odd", "off", (F.col("root") != F.col("main")).alias("aside"), (F.size("odd") - shared + 1).alias("first"))
+    placed = stash(placed.where("first > 0"), "placed")
+    items = placed.select("key", "h", "root", "off", "aside", "first", F.size("odd").alias("all"), F.explode("odd").alias("item"))
+    held_by = items.groupBy("key", "item").agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("mixed"))
+    order = Window.partitionBy("key", "h").orderBy("mixed", "m", "item")
+    items = items.join(held_by, ["key", "item"]).withColumn("left", F.col("all") - F.row_number().over(order) + 1)  # of all, from this one on
+    items = stash(items.where("mixed and left > all - first").select("key", "item", "h", "root", "off", "aside", "left"), "odd")
+    side = lambda df, x: df.select("key", "item", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "root", "off", "aside", "left")])
+    pairs = side(items.where("aside"), "a").join(side(items, "b"), ["key", "item"]).where("root_a <> root_b and (not aside_b or h_a < h_b)")
+    pairs = pairs.where(2 * F.least("left_a", "left_b") + 1e-6 >= F.col("off_a") + F.col("off_b"))
+    return pairs.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = 64) -> DataFrame:

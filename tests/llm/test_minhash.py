@@ -102,3 +102,66 @@ def test_equal_hashes_of_other_texts(spark):
     rows = df.selectExpr("doc_id", "xxhash64(text) AS h", "unhex(md5(text)) AS digest")
     texts = rows.where("doc_id < 3").selectExpr("h", "IF(doc_id = 2, unhex(md5('else')), digest) AS digest", "7L AS root")
     assert sorted(r.doc_id for r in one_each(df, rows, texts).collect()) == [1, 2]
+
+
+def edited(rnd, copies, edits):
+    """Texts of 100 words that are each the same text with edits, which is not among them itself."""
+    base = [f"word{rnd.randrange(3000)}" for _ in range(100)]
+    out = []
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rnd.choice(edits)):
+            copy[rnd.randrange(100)] = f"word{rnd.randrange(3000)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def rows_made(spark, after):
+    """The rows of each Generate and Join of the SQL executions from the given one on, and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    every = store.executionsList()
+    for e in (every.apply(k).executionId() for k in range(every.size())):
+        if e >= after:
+            values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and ("Generate" in node.name() or "Join" in node.name()) and values.contains(m.accumulatorId()):
+                        yield int(values.apply(m.accumulatorId()).replace(",", "")), node.desc()
+
+
+def test_large_group_of_near_copies(spark):
+    """Each text counts for its group once, not once for each band that it shares, and not once for each size."""
+    from tablediff.llm import minhash
+
+    rows = list(enumerate(edited(random.Random(8), 200, (1, 2, 3, 4))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList()
+    before = max([-1, *(before.apply(k).executionId() for k in range(before.size()))]) + 1
+    out = minhash.near_dedup(df, bucket=20).collect()
+    assert sorted(r.doc_id for r in out) == sorted(min(g) for g in groups(rows))
+    made = list(rows_made(spark, before))
+    assert max(made)[0] <= 50 * len(rows), max(made)  # 26 bands a text, and what it has otherwise than most
+
+
+def test_pairs_of_a_group(spark):
+    """Texts that share nothing but the core, parts of it, and other texts: the links connect what brute force does."""
+    from tablediff.llm import minhash
+
+    rnd = random.Random(9)
+    for size in (5, 12, 40):
+        core = [rnd.randrange(2**62) for _ in range(size)]
+        sets = [rnd.sample(core, rnd.randint(size // 2, size)) + [rnd.randrange(2**62) for _ in range(rnd.randint(0, size // 4))] for _ in range(40)]
+        sets += [rnd.sample(s, max(1, len(s) * 9 // 10)) for s in rnd.sample(sets, 15)] + [[rnd.randrange(2**62) for _ in range(size)]]
+        df = spark.createDataFrame([(h, sorted({*s})) for h, s in enumerate(sets)], "h long, hashes array<long>")
+        groups_of = spark.createDataFrame([(0, h) for h in range(len(sets))], "key long, h long")
+        held = minhash._from_core(groups_of, df, 0.8).cache()
+        off = {r.h: r.off for r in held.collect()}
+        alike = lambda a, b: 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})
+        star = min(off, key=lambda h: (off[h], h))
+        linked = [(star, h) for h in off if h != star and alike(star, h)]
+        same = {h for q in linked for h in q}
+        roots = spark.createDataFrame([(h, min(same)) for h in same] or [(-1, -1)], "node long, root long")
+        found = {(r.a, r.b) for r in minhash._apart(held, roots).collect()}
+        wanted = {p for p in itertools.combinations(range(len(sets)), 2) if alike(*p) and not {*p} <= same}
+        assert wanted and wanted <= found
