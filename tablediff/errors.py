@@ -59,7 +59,7 @@ class DuplicatesWarning(UserWarning):
 
 @dataclass(frozen=True)
 class Note:
-    """Something worth knowing about a comparison: dropped_columns, ignored_columns, no_measures or truncation."""
+    """Something worth knowing about a comparison: dropped_columns, ignored_columns, no_measures, truncation or repeated_keys."""
 
     kind: str
     message: str

@@ -53,6 +53,7 @@ class DiffResult:
     truncated: list[Truncation] = field(default_factory=list)
     notes: list[Note] = field(default_factory=list)
     lost_rows: DataFrame | None = None
+    crossed: bool = False
 
     def own(self, name: str) -> Column:
         return F.col(self.columns[name])
@@ -76,6 +77,8 @@ class DiffResult:
             if types[c] == "double":
                 order.append(F.when(F.col(c).isNull(), 0).when(F.isnan(c), 1).otherwise(2))
             order.append(F.col(c).asc_nulls_first())
+        if self.crossed:  # a key has several pairs of rows
+            order += [self.own(n).asc_nulls_first() for n in ("row_id_x", "row_id_y")]
         return self.df.orderBy(*order)
 
     def truncated_rows(self) -> DataFrame:
@@ -131,6 +134,7 @@ def diff_table(
     measures: `numeric`, `numeric+integer`, or names.
     tolerance, rel_tol: finite values within either are the same.
     duplicates: repeated keys are paired in order of the rows (`disambiguate`),
+        compared row by row, each of x with each of y, as SQL joins them (`cross`),
         compared as multisets (`aggregate`), or refused (`error`).
     cast: converts y to x's types (by default in benchmark mode).
     truncate: lets a cast drop fractions and times of day, and records it.
@@ -150,7 +154,7 @@ def diff_table(
         raise InputError("x and y: streams have no rows to align")
     _choice("mode", mode, ("benchmark", "equal"))
     _choice("row_key", row_key, ("none", "position", "sorted"))
-    _choice("duplicates", duplicates, ("disambiguate", "aggregate", "error"))
+    _choice("duplicates", duplicates, ("disambiguate", "cross", "aggregate", "error"))
     _choice("multisets", multisets, ("text", "counts"))
     for name, v in (("tolerance", tolerance), ("rel_tol", rel_tol)):
         if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v < 0:
@@ -262,15 +266,19 @@ def diff_table(
 
     # Repeats and alignment, from the counts of the keys.
     dry = dry or dry_run(wx, wy, keys).first().asDict()
-    paired = False
+    paired = crossed = False
     if duplicates != "aggregate" and (dry["dups_x"] or dry["dups_y"]):
         head = f"{dry['__repeated']:,} keys have several rows (key: {listed(ids)})"
         groups = _repeats(wx, wy, keys, ids)
         if duplicates == "error":
             raise DuplicatesError(f"{head}, which duplicates='error' refuses", duplicates=groups)
-        wx, wy = (occurrence(w, keys, "__row", "__seq", dry["__most"]) for w in (wx, wy))
-        paired = True
-        if chosen:
+        if duplicates == "cross":
+            crossed = True
+            note("repeated_keys", f"{head}; each row of x is compared with each of y, in {dry['est_merge_rows']:,.0f} pairs over all keys", ids)
+        else:
+            wx, wy = (occurrence(w, keys, "__row", "__seq", dry["__most"]) for w in (wx, wy))
+            paired = True
+        if chosen and paired:
             warnings.warn(DuplicatesWarning(f"{head}; the first of x goes with the first of y and so on (key_seq), so both should list them alike", groups), stacklevel=2)
     if dry["rows_x"] + dry["rows_y"] and not dry["keys_common"]:
         empty = f"{'x' if not dry['rows_x'] else 'y'} has no rows" if not dry["rows_x"] or not dry["rows_y"] else "are their keys written alike?"
@@ -281,7 +289,7 @@ def diff_table(
     df, shape = _classified(wx, wy, keys, ids, values, chosen, columns, duplicates == "aggregate" and multisets, paired, tolerance, rel_tol, nan_is_na)
     return DiffResult(
         df, shape, [columns.get(i, i) if i == "row_number" else i for i in ids], chosen, mode, float(tolerance), float(rel_tol), pairs, columns, paired,
-        [n.name for n in only_y], [label_x[c] for c in ignored], truncated, notes, lost_rows,
+        [n.name for n in only_y], [label_x[c] for c in ignored], truncated, notes, lost_rows, crossed,
     )
 
 

@@ -20,7 +20,7 @@ from .diff import DiffResult
 
 @dataclass
 class RowCounts:
-    """Rows (or keys) in each table and by what became of them; a row is changed if any of its measures is."""
+    """Rows (or keys, or pairs of crossed rows) in each table and by what became of them; a row is changed if any of its measures is."""
 
     n_x: int
     n_y: int
@@ -55,6 +55,7 @@ class DiffReport:
     top_k: int
     equal: bool
     key_types: list[str] = field(default_factory=list)
+    crossed: bool = False
 
     def format(self, unicode: bool = True) -> list[str]:
         from .render import draw
@@ -71,7 +72,8 @@ def _present(d: DiffResult) -> tuple[Column, Column]:
 
 
 def _row_keys(d: DiffResult) -> list[str]:
-    return [*d.ids, *([d.columns["key_seq"]] if d.paired else [])]
+    own = ["key_seq"] if d.paired else ["row_id_x", "row_id_y"] if d.crossed else []
+    return [*d.ids, *(d.columns[n] for n in own)]
 
 
 def collapsed(d: DiffResult) -> DataFrame:
@@ -225,6 +227,6 @@ def diff_report(d: DiffResult, x_name: str = "x", y_name: str = "y", top_k: int
         for r in sorted(top, key=lambda r: (d.measures.index(r["metric"]), r["place"]))
     ]
     return DiffReport(
-        x_name, y_name, d.mode, d.shape, "keys" if d.shape == "groups" else "rows", [label[i] for i in d.ids], [label[m] for m in d.measures],
-        d.paired, d.tolerance, d.rel_tol, d.dropped, d.ignored, d.truncated, rows, by_measure, changes, keys["x"], keys["y"], top_k, equal,
+        x_name, y_name, d.mode, d.shape, "keys" if d.shape == "groups" else "pairs" if d.crossed else "rows", [label[i] for i in d.ids], [label[m] for m in d.measures],
+        d.paired, d.tolerance, d.rel_tol, d.dropped, d.ignored, d.truncated, rows, by_measure, changes, keys["x"], keys["y"], top_k, equal, crossed=d.crossed,
     )
