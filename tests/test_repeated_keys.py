@@ -20,7 +20,7 @@ def sf(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["assertion_refused", "diff_abs_tolerance", "diff_cast_text"])
+@pytest.mark.parametrize("name", ["assertion_refused", "diff_abs_tolerance", "diff_cast_text", "diff_cells"])
 def test_against_duckdb(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
