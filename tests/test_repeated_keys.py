@@ -20,7 +20,7 @@ def sf(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["assertion_refused", "diff_abs_tolerance", "diff_cast_text", "diff_cells", "diff_cells_differences", "diff_rel_tolerance", "diff_row_ids", "report_by_measure", "report_drawn", "report_of_differences", "report_row_counts"])
+@pytest.mark.parametrize("name", ["assertion_refused", "diff_abs_tolerance", "diff_cast_text", "diff_cells", "diff_cells_differences", "diff_rel_tolerance", "diff_row_ids", "report_by_measure", "report_drawn", "report_of_differences", "report_row_counts", "summary_cells"])
 def test_against_duckdb(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
